@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, langid, line_spread, mixing, packing
+from . import dartminhash, langid, licences, line_spread, media, merkle, mixing, packing, pii, url_reputation
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,38 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = url_reputation.page_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return url_reputation.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels, page_label=url_reputation.document_of())
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_documents(spark, sf_dir))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))
+    return pii.private_spans(_documents(spark, sf_dir)).select(
+        "doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans")
+    )
+
+
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.fingerprints(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = langid.identify(_documents(spark, sf_dir))
     return told.select("doc_id", langid.in_fold().alias("held_out"), "lang_pred", "score")
@@ -38,15 +66,23 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_dartminhash": op1_dartminhash,
+        "op2_url_reputation": op2_url_reputation,
         "op3_line_spread": op3_line_spread,
         "op4_mixing": op4_mixing,
+        "op5_licences": op5_licences,
+        "op6_pii": op6_pii,
+        "op7_merkle": op7_merkle,
         "op8_packing": op8_packing,
+        "op9_media": op9_media,
         "op10_langid": op10_langid,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_reputation": url_reputation.ORACLE,
         "op3_line_spread": line_spread.ORACLE,
         "op4_mixing": mixing.oracle_sql(),
+        "op5_licences": licences.ORACLE,
+        "op7_merkle": merkle.ORACLE,
     }
