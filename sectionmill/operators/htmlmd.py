@@ -1,0 +1,324 @@
+"""A small HTML tree and its Markdown, for the batch helpers that parse captured documents."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
+
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end an open element of the same family.
+IMPLIED = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements whose edges swallow blanks.
+BLOCKS = frozenset("address article aside blockquote dd div dl dt figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+
+
+class Node:
+    __slots__ = ("attrs", "children", "name", "parent")
+
+    def __init__(self, name: str, attrs: dict[str, str] | None = None):
+        self.name, self.attrs, self.children, self.parent = name, attrs or {}, [], None
+
+    def add(self, child: Node | str) -> None:
+        if isinstance(child, Node):
+            child.parent = self
+        self.children.append(child)
+
+    def walk(self) -> Iterator[Node]:
+        """All elements below, in document order, without recursion."""
+        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+
+    def strings(self) -> Iterator[str]:
+        stack: list = list(reversed(self.children))
+        while stack:
+            x = stack.pop()
+            if isinstance(x, Node):
+                stack.extend(reversed(x.children))
+            else:
+                yield x
+
+    def text(self, joint: str = "", strip: bool = False) -> str:
+        found = (s.strip() for s in self.strings()) if strip else self.strings()
+        return joint.join(s for s in found if s or not strip)
+
+    def classes(self) -> list[str]:
+        return self.attrs.get("class", "").split()
+
+    def index(self) -> int:
+        return next(i for i, c in enumerate(self.parent.children) if c is self)
+
+    def remove(self) -> None:
+        if self.parent is not None:
+            del self.parent.children[self.index()]
+            self.parent = None
+
+    def replace(self, *by: Node | str) -> None:
+        at, parent = self.index(), self.parent
+        for x in by:
+            if isinstance(x, Node):
+                x.parent = parent
+        parent.children[at : at + 1] = by
+        self.parent = None
+
+    def unwrap(self) -> None:
+        self.replace(*self.children)
+
+    def select(self, test: Callable[[Node], bool]) -> list[Node]:
+        return [n for n in self.walk() if test(n)]
+
+    def first(self, test: Callable[[Node], bool]) -> Node | None:
+        return next((n for n in self.walk() if test(n)), None)
+
+    def copy(self) -> Node:
+        out = Node(self.name, dict(self.attrs))
+        todo = [(self, out)]
+        while todo:
+            a, b = todo.pop()
+            for c in a.children:
+                if isinstance(c, Node):
+                    d = Node(c.name, dict(c.attrs))
+                    b.add(d)
+                    todo.append((c, d))
+                else:
+                    b.add(c)
+        return out
+
+
+class _Builder(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Node("[document]")
+
+    def _close(self, names: str, bounds: tuple[str, ...]) -> None:
+        wanted, node = names.split(), self.at
+        while node.parent is not None and node.name not in bounds:
+            if node.name in wanted:
+                self.at = node.parent
+                return
+            node = node.parent
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("html", "head", "body"):
+            return
+        if tag in IMPLIED:
+            self._close(*IMPLIED[tag])
+        if tag in ENDS_P:
+            self._close("p", ("table", "td", "th", "li", "dd", "div", "blockquote", "section", "article"))
+        node = Node(tag, {k: v or "" for k, v in attrs})
+        self.at.add(node)
+        if tag not in VOID:
+            self.at = node
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and self.at.name == tag and not self.at.children:
+            pass  # in HTML a closing slash doesn't end an element
+
+    def handle_endtag(self, tag: str) -> None:
+        node = self.at
+        while node.parent is not None and node.name != tag:
+            node = node.parent
+        if node.parent is not None:
+            self.at = node.parent
+
+    def handle_data(self, data: str) -> None:
+        children = self.at.children
+        if children and isinstance(children[-1], str):
+            children[-1] += data
+        else:
+            children.append(data)
+
+
+def parse_html(html: str) -> Node:
+    builder = _Builder()
+    builder.feed(html or "")
+    builder.close()
+    return builder.root
+
+
+def has_class(*names: str) -> Callable[[Node], bool]:
+    wanted = set(names)
+    return lambda n: not wanted.isdisjoint(n.classes())
+
+
+def is_tag(*names: str) -> Callable[[Node], bool]:
+    return lambda n: n.name in names
+
+
+def tag_class(tag: str, name: str) -> Callable[[Node], bool]:
+    return lambda n: n.name == tag and name in n.classes()
+
+
+def has_attr(name: str, value: str | None = None, inside: bool = False) -> Callable[[Node], bool]:
+    if value is None:
+        return lambda n: name in n.attrs
+    return lambda n: name in n.attrs and (value in n.attrs[name] if inside else n.attrs[name] == value)
+
+
+def _is_block(x: Node | str | None) -> bool:
+    return isinstance(x, Node) and x.name in BLOCKS
+
+
+def _string(text: str, parent: Node, before: Node | str | None, after: Node | str | None) -> str:
+    """A text node: blanks in one, none at the edges of blocks."""
+    if _is_block(before) or (before is None and _is_block(parent)):
+        text = text.lstrip(" \t\r\n")
+    if _is_block(after) or (after is None and _is_block(parent)):
+        text = text.rstrip(" \t\r\n")
+    text = re.sub(r"[ \t\r]*\n[ \t\r\n]*", "\n", text)
+    return re.sub(r"[ \t]+", " ", text)
+
+
+def _join(parts: list[str]) -> str:
+    """Parts end to end; where both sides bring line ends, the larger number counts, two at most."""
+    out = ""
+    for part in parts:
+        if not part:
+            continue
+        lead = len(part) - len(part.lstrip("\n"))
+        tail = len(out) - len(out.rstrip("\n"))
+        if lead and tail:
+            out = out.rstrip("\n") + "\n" * min(2, max(lead, tail)) + part.lstrip("\n")
+        else:
+            out += part
+    return out
+
+
+def _marked(mark: str, text: str) -> str:
+    core = text.strip()
+    if not core:
+        return ""
+    return (" " if text[:1].isspace() else "") + mark + core + mark + (" " if text[-1:].isspace() else "")
+
+
+def _item(node: Node, text: str) -> str:
+    text = text.strip()
+    if not text:
+        return "\n"
+    parent = node.parent
+    if parent is not None and parent.name == "ol":
+        start = int(parent.attrs["start"]) if parent.attrs.get("start", "").isdigit() else 1
+        before = [c for c in parent.children[: node.index()] if isinstance(c, Node) and c.name == "li"]
+        bullet = f"{start + len(before)}. "
+    else:
+        depth, up = -1, parent
+        while up is not None:
+            depth += up.name == "ul"
+            up = up.parent
+        bullet = "*+-"[max(depth, 0) % 3] + " "
+    lines = text.split("\n")
+    return bullet + "\n".join([lines[0], *(" " * len(bullet) + line if line else line for line in lines[1:])]) + "\n"
+
+
+def _row(node: Node, text: str) -> str:
+    cells = node.select(is_tag("td", "th"))
+    span = sum(int(c.attrs["colspan"]) if c.attrs.get("colspan", "").isdigit() else 1 for c in cells)
+    siblings = [c for c in node.parent.children if isinstance(c, Node)] if node.parent is not None else [node]
+    first = siblings[0] is node
+    where = node.parent.name if node.parent is not None else ""
+    head = all(c.name == "th" for c in cells) or (where == "thead" and sum(s.name == "tr" for s in siblings) == 1)
+    table = node.parent.parent if where == "tbody" else None
+    headless = first and (where not in ("tbody", "thead") or (where == "tbody" and (table is None or table.first(is_tag("thead")) is None)))
+    rule = "| " + " | ".join(["---"] * span) + " |\n"
+    if head and first:
+        return "|" + text + "\n" + rule
+    if headless:
+        return "| " + " | ".join([""] * span) + " |\n" + rule + "|" + text + "\n"
+    return "|" + text + "\n"
+
+
+def _render(node: Node, inline: bool, raw: bool) -> str:
+    name = node.name
+    inner_inline = inline or name in ("h1", "h2", "h3", "h4", "h5", "h6", "td", "th")
+    inner_raw = raw or name in ("pre", "code", "kbd", "samp")
+    parts, children = [], node.children
+    for i, c in enumerate(children):
+        if isinstance(c, Node):
+            parts.append(_render(c, inner_inline, inner_raw))
+        elif raw or name == "pre":
+            parts.append(c)
+        else:
+            parts.append(_string(c, node, children[i - 1] if i else None, children[i + 1] if i + 1 < len(children) else None))
+    text = "".join(parts) if inner_raw else _join(parts)
+    bare = text.strip(" \t\r\n")
+    if name in ("p", "div", "section", "article"):
+        return f" {bare} " if inline else f"\n\n{bare}\n\n" if bare else ""
+    if name == "br":
+        return " " if inline else "  \n"
+    if name in ("strong", "b"):
+        return text if raw else _marked("**", text)
+    if name in ("em", "i"):
+        return text if raw else _marked("*", text)
+    if name in ("del", "s"):
+        return text if raw else _marked("~~", text)
+    if name in ("code", "kbd", "samp"):
+        return text if raw else _marked("`", text)
+    if len(name) == 2 and name[0] == "h" and name[1] in "123456":
+        return text if inline else f"\n\n{'#' * int(name[1])} {re.sub(r'[ \t\r\n]+', ' ', bare)}\n\n" if bare else ""
+    if name in ("ul", "ol"):
+        nested, up = False, node.parent
+        while up is not None:
+            nested |= up.name == "li"
+            up = up.parent
+        return "\n" + text.rstrip() if nested else "\n\n" + text + "\n"
+    if name == "li":
+        return _item(node, text)
+    if name == "blockquote":
+        if inline:
+            return f" {bare} "
+        return "\n" + "\n".join("> " + line if line else ">" for line in bare.split("\n")) + "\n\n" if bare else "\n"
+    if name == "pre":
+        return f"\n\n```\n{text.strip(chr(10))}\n```\n\n" if text else ""
+    if name == "hr":
+        return "\n\n---\n\n"
+    if name == "img":
+        alt, src, title = (node.attrs.get(k, "") for k in ("alt", "src", "title"))
+        return alt if inline else f"![{alt}]({src}" + (f' "{title}"' if title else "") + ")"
+    if name == "table":
+        return f"\n\n{bare}\n\n"
+    if name in ("td", "th"):
+        span = int(node.attrs["colspan"]) if node.attrs.get("colspan", "").isdigit() else 1
+        return " " + bare.replace("\n", " ") + " |" * max(1, span)
+    if name == "tr":
+        return _row(node, text)
+    if name == "caption":
+        return bare + "\n\n"
+    if name == "dt":
+        return "\n\n" + re.sub(r"[ \t\r\n]+", " ", bare) + "\n" if bare else ""
+    if name == "dd":
+        return ":   " + "\n".join("    " + line if line and i else line for i, line in enumerate(bare.split("\n"))) + "\n" if bare else ""
+    if name == "q":
+        return f'"{text}"'
+    return text
+
+
+def to_markdown(node: Node) -> str:
+    """The Markdown of an element; line ends and blanks still want :func:`tidy`."""
+    return _render(node, False, False).strip("\n")
+
+
+_H = r"[^\S\n]"
+_TIDY = [
+    (re.compile(r"\{FN-(\d+)\}"), r"[^\1]"),
+    (re.compile(_H + r"+(\[\^\d+\])"), r"\1"),
+    (re.compile(r"(\[\^\d+\])" + _H + r"+([,.;:)\]])"), r"\1\2"),
+    (re.compile(_H + r"*\n" + _H + r"*"), "\n"),
+    (re.compile(_H + r"+"), " "),
+    (re.compile(r"\n{3,}"), "\n\n"),
+]
+
+
+def tidy(text: str) -> str:
+    """What :func:`sectionmill.functions.text.postprocess` does to a column, for one string."""
+    for pattern, to in _TIDY:
+        text = pattern.sub(to, text)
+    return text.strip()
+
+
+def one_line(text: str) -> str:
+    return re.sub(_H + "+", " ", text).strip()
