@@ -60,7 +60,7 @@ def _strength(counts: DataFrame) -> DataFrame:
     m = F.col("mean")
     spread = F.sum((F.col("bad") - F.col("n") * m) * (F.col("bad") - F.col("n") * m) / F.col("n") / (m * (1 - m)))
     rho = F.least(F.lit(0.5), F.greatest(F.lit(0.001), (spread - F.count("*")) / F.greatest(F.sum(F.col("n") - 1), F.lit(1))))
-    return counts.where("n > 0").agg(F.coalesce(1 / rho - 1, F.lit(1.0)).alias("strength"))
+    return counts.where("n > 0").agg(F.when(F.count("*") == 0, F.lit(1.0)).otherwise(1 / rho - 1).alias("strength"))
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _rule_sql() -> str:
 
 
 def _strength_sql(rel: str) -> str:
-    return f"""(SELECT coalesce(1 / least(0.5, greatest(0.001, (sum((bad - n * mean) * (bad - n * mean) / n / (mean * (1 - mean))) - count(*)) / greatest(sum(n - 1), 1))) - 1, 1.0) FROM {rel} WHERE n > 0)"""
+    return f"""(SELECT CASE WHEN count(*) = 0 THEN 1.0 ELSE 1 / least(0.5, greatest(0.001, (sum((bad - n * mean) * (bad - n * mean) / n / (mean * (1 - mean))) - count(*)) / greatest(sum(n - 1), 1))) - 1 END FROM {rel} WHERE n > 0)"""
 
 
 _SECOND = "|".join(SECOND_LEVEL)
