@@ -726,3 +726,26 @@ def str2_title_progress(spark: SparkSession, d: str) -> DataFrame:
 @register("str3_latest_progress", f"WITH {_RUN_EVENTS} SELECT title, 'Section ' || max(seq) AS label, max(seq) % 50 AS done, max(seq) % 5 AS failed, CAST(50 AS BIGINT) AS total FROM re WHERE kind = 'section' GROUP BY title")
 def str3_latest_progress(spark: SparkSession, d: str) -> DataFrame:
     return replay.replay_latest_progress(_run_events(spark, d))
+
+
+@register("str4_incremental_compile", with_records(f"SELECT {_slug_sql('pub')} AS pub_slug, {_slug_sql('tit')} AS title_slug, count(*) AS n, string_agg('urn:contentItem:D' || doc_id, ',' ORDER BY pub, tit, nodeid, seq) AS urns FROM rec GROUP BY 1, 2"))
+def str4_incremental_compile(spark: SparkSession, d: str) -> DataFrame:
+    """Records arrive in parts; each part rewrites the titles it touches. Lines are read back in file order."""
+    out = replay.replay_compile(A.records(spark, d))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(out).select("pub_slug", "title_slug", F.get_json_object("value", "$.contentitem_urn").alias("urn"), place.alias("place"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "urn"))), lambda s: s["urn"])
+    return lines.groupBy("pub_slug", "title_slug").agg(F.count("*").alias("n"), F.array_join(ordered, ",").alias("urns"))
+
+
+@register("snk3_failures_log", "SELECT 'urn:contentItem:U' || user_id || chr(9) || CASE WHEN user_id % 11 > 0 THEN 'Title ' || (user_id % 11) ELSE '' END || chr(9) || (event_id % 100) || chr(9) || 'ParseError: ' || left(repeat('bad ', 100), 200) AS line FROM events WHERE event_type = 'error'")
+def snk3_failures_log(spark: SparkSession, d: str) -> DataFrame:
+    e = A.table(spark, d, "events").where("event_type = 'error'")
+    rows = e.select(
+        F.concat(F.lit("urn:contentItem:U"), F.col("user_id").cast("string")).alias("urn"), F.when(F.col("user_id") % 11 > 0, F.concat(F.lit("Title "), (F.col("user_id") % 11).cast("string"))).alias("title"),
+        (F.col("event_id") % 100).cast("string").alias("number"), F.lit("ParseError").alias("error_type"), F.repeat(F.lit("bad "), 100).alias("message"),
+    )
+    folder = f"{replay.shared_folder(spark)}/failures"
+    corpus.append_failures(rows.where("number < '5'"), folder)
+    corpus.append_failures(rows.where("not number < '5'"), folder)
+    return spark.read.text(folder).select(F.col("value").alias("line"))

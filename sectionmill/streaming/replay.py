@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .streams import latest, latest_progress, manifest_stream, title_progress
+from .streams import incremental_compile, latest, latest_progress, manifest_stream, title_progress
 
 _local: list[str] = []
 #: Arrivals into which a table is cut, in order of ``seq``.
@@ -73,3 +73,15 @@ def replay_title_progress(events: DataFrame) -> DataFrame:
 
 def replay_latest_progress(events: DataFrame) -> DataFrame:
     return _replay_complete(events, latest_progress)
+
+
+def replay_compile(records: DataFrame) -> str:
+    """Compile records that arrive in parts; returns the folder of the titles' lines."""
+    spark, folder = records.sparkSession, shared_folder(records.sparkSession)
+    edges = [None, *(records.stat.approxQuantile("seq", [i / PARTS for i in range(1, PARTS)], 0.01) if not records.isEmpty() else []), None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = records.where(F.lit(True) if low is None else F.col("seq") > low).where(F.lit(True) if high is None else F.col("seq") <= high)
+        part.write.mode("append").parquet(f"{folder}/arrivals")
+        stream = spark.readStream.schema(records.schema).parquet(f"{folder}/arrivals")
+        incremental_compile(stream, f"{folder}/records", f"{folder}/titles", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/titles"
