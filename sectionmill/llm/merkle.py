@@ -8,6 +8,8 @@ equality and leaves tell where two texts differ.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,19 @@ def section_hashes(hashes: Column) -> Column:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fingerprint_of(hashes: Column) -> Column:
     """The fingerprint string of an array of leaf hashes."""
-    short = F.array_join(F.transform(hashes, lambda h: F.substring(h, 1, DIGITS)), "")
-    return F.concat(F.md5(F.array_join(section_hashes(hashes), "")), F.lit(":"), short)
+
+    def text(h: Column) -> Column:
+        short = F.array_join(F.transform(h, lambda x: F.substring(x, 1, DIGITS)), "")
+        return F.concat(F.md5(F.array_join(section_hashes(h), "")), F.lit(":"), short)
+
+    return _let(hashes, text)
 
 
 def fingerprint(text: Column) -> Column:
@@ -51,17 +62,16 @@ def leaf_digits(print_: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """From two fingerprints: 1 if the roots agree, else the share of their leaves in both (0 to 1)."""
-    x, y = leaf_digits(a), leaf_digits(b)
-    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(
-        F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)).cast("double")
-    )
+    shared = lambda x, y: F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)).cast("double")
+    part = _let(leaf_digits(a), lambda x: _let(leaf_digits(b), lambda y: shared(x, y)))
+    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(part)
 
 
 def differing_leaves(a: Column, b: Column) -> Column:
     """Places (section, leaf), from 0, of the first text's leaves whose hash the second lacks."""
-    x, y = leaf_digits(a), leaf_digits(b)
-    at = F.transform(x, lambda h, i: F.struct((i / FAN).cast("int").alias("section"), i.cast("int").alias("leaf"), h.alias("digits")))
-    return F.transform(F.filter(at, lambda s: ~F.array_contains(y, s["digits"])), lambda s: F.struct(s["section"], s["leaf"]))
+    at = F.transform(leaf_digits(a), lambda h, i: F.struct((i / FAN).cast("int").alias("section"), i.cast("int").alias("leaf"), h.alias("digits")))
+    new = _let(leaf_digits(b), lambda y: F.filter(at, lambda s: ~F.array_contains(y, s["digits"])))
+    return F.transform(new, lambda s: F.struct(s["section"], s["leaf"]))
 
 
 def neighbours(docs: DataFrame, key: str, size: Column) -> DataFrame:
