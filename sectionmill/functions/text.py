@@ -115,8 +115,8 @@ def assemble(number: Column, heading: Column, body: Column, footnotes: Column) -
     return F.concat(F.regexp_replace(F.array_join(parts, "\n\n"), rf"(?U){WS}+\z", ""), F.lit("\n"))
 
 
-#: Parts of login urls, and phrases of refusals.
-LOGIN_HINTS = ("/lnaccess/", "lnaccess/app/signin", "/idp/", "shibboleth", "/connect?session", "openathens")
+#: Parts of login urls (a site adds its own sign-in hosts), and phrases of refusals.
+LOGIN_HINTS = ("/idp/", "shibboleth", "/connect?session", "openathens")
 BLOCK_HINTS = ("unusual activity", "access denied", "are you a robot", "request blocked")
 CONTAINER = r"class=[\"'](?:[^\"']*\s)?(?:SS_contentdocument|SS_HK|document-content-container|section-content-container)(?:\s[^\"']*)?[\"']"
 
