@@ -67,8 +67,9 @@ def remove_boilerplate(
         .withColumnRenamed("id", "__id")
     )
     lines = F.split(text_col, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    left = lambda cut: F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("__gone"))
+    # The text is cut once, as the one element of an array, and not once for each line that stays.
+    text = F.get(F.transform(F.array(lines), lambda cut: F.array_join(F.transform(left(cut), lambda i: F.get(cut, i)), "\n")), F.lit(0))
     joined = docs.join(hits, F.col(id_col) == F.col("__id"), "left")
     return joined.select(
         *[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns],
