@@ -1,7 +1,7 @@
 """MinHash near-dedup with dart sketches.
 
-A document is a weighted set: its five-word shingles, each with one plus the logarithm of its
-count, so that a passage repeated in a document counts for more than once but not for all. Every unit of
+A document is the set of its five-word shingles, each with weight one however often it occurs, so that
+sketches estimate the similarity that decides about a pair. Every unit of
 weight of every shingle owns a fixed, hash-seeded Poisson process of darts along a rank
 axis, at rate one. A sketch looks at all darts whose rank is below ``t / total weight``
 (about ``t = k ln k + 2k`` darts whatever the document's length), sends each dart to one
@@ -174,8 +174,8 @@ def _sketcher(bands: int, rows: int, size: int):
             ends = np.concatenate([[0], np.cumsum(lengths)])
             found, short, distinct = [], [], []
             for a, b in _parts(lengths):
-                r, x, c = weighted_shingles(words[ends[a] : ends[b]], lengths[a:b], size)
-                sketch = throw(r, x, 1 + np.log(c), b - a, bands * rows)
+                r, x, _ = weighted_shingles(words[ends[a] : ends[b]], lengths[a:b], size)
+                sketch = throw(r, x, np.ones(len(r)), b - a, bands * rows)
                 found.append(band_hashes(sketch, bands, rows))
                 short.append(digests(sketch))
                 distinct.append(np.bincount(r, minlength=b - a).astype(np.int64))

@@ -65,6 +65,14 @@ def test_classes_equal_brute_force(spark, seed):
     assert all(want[i] == want[j] for i in got for j in got if i < j and got[i] == got[j])
 
 
+def test_repeated_texts_are_found(spark):
+    rng = random.Random(8)
+    bases = [[f"t{k}w{rng.randrange(5000)}" for _ in range(150)] for k in range(40)]
+    rows = [(3 * k + m - 1, " ".join(base * m)) for k, base in enumerate(bases) for m in (1, 2, 3)]
+    got = {r["doc_id"]: r["class_id"] for r in D.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and len(set(got.values())) == 40
+
+
 def test_edges(spark):
     rows = [(1, "Alpha beta."), (2, "alpha  BETA"), (3, None), (4, None), (5, ""), (6, ""), (7, "!!"), (8, "??"), (9, "!!"), (None, "alpha beta"), (11, "alpha beta gamma"), (2, "alpha  BETA")]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
