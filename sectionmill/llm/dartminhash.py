@@ -284,15 +284,17 @@ def _classes(src: DataFrame, firsts: DataFrame, threshold: float, size: int, coo
     Every text of a bucket is first compared with the bucket's most central text: the one whose own
     buckets hold the most. In a large group of near copies that is the text they were made from, so
     each member costs a pair or a few. Texts that this doesn't join to their leader's class meet
-    again in their buckets, one for each class, with 64, 4096, ... leaders a round until none are left
-    that haven't been compared; there the digests of the sketches decide in the join who is worth
-    a look at the texts.
+    again in their buckets, one for each class, with 64, 4096, ... leaders a round; there the digests of
+    the sketches decide in the join who is worth a look at the texts. That only makes the classes few: at
+    the end :func:`_open_pairs` gives all pairs of a bucket that are still apart, and those whose sizes fit
+    are verified, first the ones that the digests call alike, then all others that these haven't joined.
     """
     held = firsts.where("distinct > 0").select("id", "distinct", F.posexplode("bands").alias("band", "hash"))
     crowd = held.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
     held = materialise(held.join(crowd, ["band", "hash"]), "members")
     central = held.groupBy("id").agg(F.sum("n").alias("central"))
     ranked = materialise(held.drop("n").join(central, "id"), "members")
+    buckets = ranked.select("band", "hash", "id", "distinct")
     drop(held)
     # The only shuffle of all texts; from here on those that share no bucket are out of the way.
     texts = materialise(src.join(ranked.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
@@ -327,18 +329,63 @@ def _classes(src: DataFrame, firsts: DataFrame, threshold: float, size: int, coo
         checked = checked.unionByName(fresh)
         joined = materialise(pairs.join(fresh.where("linked").select("a", "b"), ["a", "b"], "left_semi").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), "links")
         if not joined.isEmpty():
-            merged = materialise(components(joined), "merged")
-            moved = known.join(merged.select(F.col("node").alias("old"), F.col("component").alias("new")), F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
-            known = materialise(moved.union(merged).distinct(), "classes")
+            known, merged = _merged(known, joined)
             ranked = ranked.join(merged.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component")
         done = ranked.where(F.col("place") <= leaders).select("band", "hash", "class").distinct()
         left = ranked.where(F.col("place") > leaders).join(done, ["band", "hash", "class"], "left_anti").groupBy("band", "hash", "class").agg(F.min(F.struct("x", "digest")).alias("s")).select("band", "hash", "class", "s.*")
         crowd = left.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
         rest = materialise(left.join(crowd, ["band", "hash"], "left_semi"), "members")
         leaders *= 64
+
+    pairs = materialise(_open_pairs(buckets, known, threshold).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    if pairs.isEmpty():
+        return known
+    alike = pairs.join(digests.select(F.col("id").alias("a"), F.col("digest").alias("da")), "a").join(digests.select(F.col("id").alias("b"), F.col("digest").alias("db")), "b")
+    pairs = materialise(alike.select("a", "b", _alike("da", "db", coordinates, threshold).alias("alike")), "pairs")
+    for first in (True, False):
+        fresh = materialise(_verified(texts, _apart(pairs.where(F.col("alike") == first), known).select("a", "b"), threshold, size), "checked")
+        joined = materialise(_apart(fresh.where("linked"), known).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "links")
+        if not joined.isEmpty():
+            known, _ = _merged(known, joined)
     return known
 
 
+def _merged(known: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``known`` after links between classes, and the new class of each class that these move."""
+    merged = materialise(components(joined), "merged")
+    moved = known.join(merged.select(F.col("node").alias("old"), F.col("component").alias("new")), F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    return materialise(moved.union(merged).distinct(), "classes"), merged
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs of different classes, with these."""
+    for x in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("node").alias(x), F.col("component").alias("class_" + x)), x, "left").withColumn("class_" + x, F.coalesce("class_" + x, x))
+    return pairs.where("class_a <> class_b")
+
+
+def _open_pairs(buckets: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of all texts that share a bucket, are of different classes and have fitting sizes.
+
+    Those outside the largest class of a bucket meet all its members, in cells of about a thousand by a
+    thousand, so that neither one class nor one bucket is a single task.
+    """
+    classed = buckets.join(known, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component")
+    sizes = classed.groupBy("band", "hash", "class").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band", "hash").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("n")).where("classes > 1")
+    cells = lambda n: F.ceil(n / 1000).cast("int")
+    mixed = mixed.select("band", "hash", F.col("main.class").alias("main"), cells(F.col("n")).alias("across"), cells(F.col("n") - F.col("main.n")).alias("down"))
+    members = materialise(classed.join(mixed, ["band", "hash"]), "members")
+    at = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    few = members.where("class <> main").withColumn("row", at(F.col("down"))).withColumn("column", every(F.col("across")))
+    few = few.select("band", "hash", "row", "column", F.col("id").alias("x"), F.col("class").alias("class_x"), F.col("distinct").alias("distinct_x"))
+    every_one = members.withColumn("column", at(F.col("across"))).withColumn("row", every(F.col("down")))
+    met = every_one.join(few, ["band", "hash", "row", "column"])
+    met = met.where((F.col("class") != F.col("class_x")) & ((F.col("class") == F.col("main")) | (F.col("x") < F.col("id"))) & _near("distinct", "distinct_x", threshold))
+    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, threshold: float, size: int) -> DataFrame:
     """The similarity of each pair on whole texts; an id names one text.
 

@@ -73,6 +73,30 @@ def test_repeated_texts_are_found(spark):
     assert got == brute(rows) and len(set(got.values())) == 40
 
 
+def test_all_pairs_of_a_bucket_are_compared(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(30):  # a chain: each text is near the next only, the first leads the bucket
+        words = [f"c{k}w{i}" for i in range(100)]
+        for step in range(4):
+            rows.append((len(rows), " ".join(words)))
+            for i in range(10 * step, 10 * step + 10):
+                words[(i + 90) % 100] = f"c{k}s{step}w{rng.randrange(10**6)}"
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in D.near_duplicates(df, bands=2, rows=1).collect()}
+    words = df.select("doc_id", D.word_hashes(D.normal_words(df.text)).alias("w")).orderBy("doc_id").collect()
+    r, x, _ = D.weighted_shingles(np.array([h for row in words for h in row.w], np.int64).view(np.uint64), np.array([len(row.w) for row in words]))
+    bands = D.band_hashes(D.throw(r, x, np.ones(len(r)), len(rows), 2), 2, 1)
+    sets, want, old = [shingles(t) for _, t in rows], list(range(len(rows))), None
+    while old != want:
+        old = want[:]
+        for i in range(len(rows)):
+            for j in range(i - i % 4, i):
+                if (bands[i] == bands[j]).any() and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert got == dict(enumerate(want))
+
+
 def test_edges(spark):
     rows = [(1, "Alpha beta."), (2, "alpha  BETA"), (3, None), (4, None), (5, ""), (6, ""), (7, "!!"), (8, "??"), (9, "!!"), (None, "alpha beta"), (11, "alpha beta gamma"), (2, "alpha  BETA")]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
