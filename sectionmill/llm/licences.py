@@ -40,6 +40,17 @@ SENTENCES = {
     "cc0": "This work is dedicated to the public domain.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights": "All rights reserved.",
+    "gpl-2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-2-free-comma": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "gpl-3-free-semicolon": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "gpl-2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl-2-1-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-2-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
 }
 #: Licence and the sentences that must stand in this order.
 RULES = [
@@ -61,6 +72,17 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("Unlicense", ["unlicense"]),
     ("all-rights-reserved", ["all-rights"]),
+    ("GPL-2.0-or-later", ["gpl-2-free"]),
+    ("GPL-2.0-or-later", ["gpl-2-free-comma"]),
+    ("GPL-3.0-or-later", ["gpl-3-free-semicolon"]),
+    ("GPL-2.0-only", ["gpl-2-only"]),
+    ("LGPL-2.1-or-later", ["lgpl-2-1-free"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-free"]),
+    ("AGPL-3.0-or-later", ["agpl-3-free"]),
+    ("MPL-2.0", ["mpl-2-header"]),
+    ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-grant-and"]),
+    ("0BSD", ["0bsd-grant"]),
 ]
 _STOP = r"[.!?:;]+(?:[ \t\r\n]+|$)|\n+"
 
@@ -72,11 +94,35 @@ def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def cut(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """The tables with each sentence cut at its stops as texts are.
+
+    Each part has an identifier of its own, the first one that of the sentence; a part that an earlier
+    sentence also has keeps the identifier from there. Tables that are cut already stay as they are.
+    """
+    import re
+
+    parts, names, made = {}, {}, {}
+    for name, sentence in sentences.items():
+        ends = [0, *(m.end() for m in re.finditer(_STOP, sentence)), len(sentence)]
+        found = [p for p in (sentence[a:b].strip() for a, b in zip(ends, ends[1:], strict=False)) if normal(p)]
+        for i, part in enumerate(found):
+            key = normal(part)
+            if key not in made:
+                made[key] = name if i == 0 else f"{name}-{i + 1}"
+                parts[made[key]] = part
+            names.setdefault(name, []).append(made[key])
+    return parts, [(licence, [part for name in wanted for part in names[name]]) for licence, wanted in rules]
+
+
+SENTENCES, RULES = cut(SENTENCES, RULES)
+
+
 def identifiers(text: Column, sentences: dict[str, str]) -> Column:
     """The known sentences of a text, in order, as an array of identifiers.
 
-    A sentence that itself holds a stop inside is known by its parts joined, so stops are
-    taken only where a blank or the end follows.
+    ``sentences`` are as :func:`cut` gives them: one with a stop inside is several here, as it is in a
+    text. Stops are taken only where a blank or the end follows.
     """
     known = {normal(s): name for name, s in sentences.items()}
     said = F.transform(F.split(text, _STOP), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
@@ -95,7 +141,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sen
     ``licences`` are in the order of the rules, each once. A null text has none; repeated rows and
     null ids are scanned like others. Columns other than the two named aren't read.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
+    sentences, rules = cut(sentences or SENTENCES, rules or RULES)
     text = F.coalesce(F.col(text_col), F.lit(""))
     seen = docs.select(
         F.col(id_col).alias("id"), identifiers(text, sentences).alias("by_line"),

@@ -122,6 +122,32 @@ def scan(spark, *texts):
     return {r["doc_id"]: r for r in licences.scan(df).collect()}
 
 
+def test_every_sentence_and_rule_is_found(spark):
+    s, rules = licences.SENTENCES, licences.RULES
+    got = scan(spark, *[t if t[-1] in ".:;" else t + "." for t in s.values()])
+    assert [got[i]["sentence_ids"] for i in range(len(s))] == list(s)
+    got = scan(spark, *["\n".join(s[name] for name in names) for _, names in rules])
+    assert all(licence in got[i]["licences"].split(",") for i, (licence, _) in enumerate(rules))
+
+
+def test_gnu_notices(spark):
+    gpl = """This {0} is free software{1} you can redistribute it and/or modify
+it under the terms of the GNU {2}General Public License as published by
+the Free Software Foundation{3} either version {4} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+
+You should have received a copy of the GNU {2}General Public License
+along with this {0}. If not, see <https://www.gnu.org/licenses/>."""
+    three = gpl.format("program", ":", "", ",", "3")
+    texts = [three, "# " + three.replace("\n", "\n# ").replace("# \n", "\n"), gpl.format("program", ";", "", ";", "2"), gpl.format("library", ";", "Lesser ", ";", "2.1"), gpl.format("program", ":", "Lesser ", ",", "3"), gpl.format("program", ":", "Affero ", ",", "3"), "This program is free software"]
+    got = scan(spark, *texts)
+    assert [got[i]["licences"] for i in range(7)] == ["GPL-3.0-or-later"] * 2 + ["GPL-2.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", ""]
+
+
 def test_licences(spark):
     s = licences.SENTENCES
     mit = "\n".join(s[k] for k in ("mit-grant", "mit-notice", "mit-warranty"))
