@@ -11,6 +11,10 @@ similarity. A sketch with an empty coordinate is made again with twice the darts
 
 Bands of the sketch are joined, and candidate pairs are verified on the whole texts. A pair is
 linked if the Jaccard similarity of its sets of shingles is at least the threshold. Texts with equal words are one class before any sketch is compared.
+
+Before texts are fetched, two exact bounds of the similarity throw out pairs: the ratio of the sets' sizes, and a
+bitmap of each set. A bit that one of two bitmaps alone has stands for a shingle that the other set lacks, so the
+bound is never too low and no link is lost by it.
 """
 
 from __future__ import annotations
@@ -24,9 +28,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bound_batches, drop, materialise
+from .scratch import bound_batches, drop, fresh, kind, materialise, valid
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 6
+#: Bits of a text's bitmap.
+BITS = 2048
+#: Members of a bucket that meet in one cell.
+_CELL = 1000
 _U = np.uint64
 #: Cumulative probabilities of a Poisson variable of mean one.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
@@ -139,13 +147,11 @@ def band_hashes(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
         return mix(h + np.arange(bands, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
-def digests(sketch: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, sixteen coordinates a word; unused places are zero."""
-    n, k = sketch.shape
-    words = -(-k // 16)
-    bits = np.zeros((n, words * 16), _U)
-    bits[:, :k] = mix(sketch) >> _U(60)
-    return (bits.reshape(n, words, 16) << (np.arange(16, dtype=_U) * _U(4))).sum(axis=2, dtype=_U)
+def bitmaps(rows: np.ndarray, items: np.ndarray, n_rows: int) -> np.ndarray:
+    """``BITS`` bits of each row's set of items, as 64-bit words."""
+    flat = np.zeros(n_rows * BITS, bool)
+    flat[rows * BITS + (items >> _U(17) & _U(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(flat, bitorder="little").view(_U).reshape(n_rows, BITS // 64)
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -172,19 +178,16 @@ def _sketcher(bands: int, rows: int, size: int):
         for batch in batches:
             words, lengths = _flat(batch.column("words"))
             ends = np.concatenate([[0], np.cumsum(lengths)])
-            found, short, distinct = [], [], []
+            found, bits, distinct = [], [], []
             for a, b in _parts(lengths):
                 r, x, _ = weighted_shingles(words[ends[a] : ends[b]], lengths[a:b], size)
-                sketch = throw(r, x, np.ones(len(r)), b - a, bands * rows)
-                found.append(band_hashes(sketch, bands, rows))
-                short.append(digests(sketch))
+                found.append(band_hashes(throw(r, x, np.ones(len(r)), b - a, bands * rows), bands, rows))
+                bits.append(bitmaps(r, x, b - a))
                 distinct.append(np.bincount(r, minlength=b - a).astype(np.int64))
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * width), pa.array(np.concatenate(x).view(np.int64).reshape(-1) if x else np.zeros(0, np.int64))) for x, width in ((found, bands), (short, -(-bands * rows // 16)))]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * width), pa.array(np.concatenate(x).view(np.int64).reshape(-1) if x else np.zeros(0, np.int64))) for x, width in ((found, bands), (bits, BITS // 64))]
             sizes = np.concatenate(distinct) if distinct else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("k1"), batch.column("k2"), pa.array(sizes), *lists],
-                names=["id", "k1", "k2", "distinct", "bands", "digest"],
-            )
+            kept = ["row", "id", "h", "k1", "k2"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sizes), *lists], names=[*kept, "distinct", "bands", "bits"])
 
     return run
 
@@ -226,35 +229,49 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: (id, class_id, kept).
 
-    ``class_id`` is the least id of the document's class; ``kept`` holds for that
-    document alone. Texts whose words are equal are one class; texts without any word
-    are one class only if the whole texts are equal. A null text or id makes a document its
-    own class (a null id has a null class and is kept). Repeated rows of an id
-    give as many rows. Columns of ``docs`` other than the two named aren't read.
+    ``class_id`` is the least id of the document's class (null if all its ids are null); ``kept`` holds for one
+    row of each class, that of the least id. Ids may be of any type, null and repeated: each row is a document, and
+    rows of one id with different texts are told apart. Of rows that tie for the least id, the hashes of the words and of the text decide;
+    only rows equal in both tie beyond that, and one of them is kept. Texts whose words are equal are one class; texts without
+    any word are one class only if the whole texts are equal. A null text makes a document its
+    own class. Very long texts are sketched and verified whole. An empty table gives no rows. Columns of ``docs`` other than the two named aren't read.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    norm = src.where("id is not null").select("id", "text", normal_words(F.coalesce("text", F.lit(""))).alias("norm"))
-    same = F.when(F.col("text").isNull(), F.col("id").cast("string")).when(F.col("norm") == "", F.col("text")).otherwise(F.col("norm"))
-    kind = F.when(F.col("text").isNull(), 2).when(F.col("norm") == "", 1).otherwise(0)
-    keyed = norm.select("id", F.xxhash64(same, kind).alias("k1"), F.xxhash64(kind, F.lit(7), same).alias("k2"), word_hashes(F.col("norm")).alias("words"))
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "numbered")
+    return _classified(numbered, threshold, bands, rows, size).select(F.col("id").alias(id_col), "class_id", "kept")
+
+
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+    threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`near_duplicates` keeps: one of each class."""
+    row = fresh(docs, "row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = _classified(numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), threshold, bands, rows, size)
+    kept = materialise(found.where("kept").select(F.col("row").alias(row)), "kept")
+    return numbered.join(kept, row, "left_semi").select(docs.columns)
+
+
+def _classified(numbered: DataFrame, threshold: float, bands: int, rows: int, size: int) -> DataFrame:
+    """(row, id, class_id, kept) of a written table (row, id, text) whose rows have numbers of their own."""
+    bound_batches(numbered.sparkSession)
+    norm = numbered.select("row", "id", "text", normal_words(F.coalesce(valid(F.col("text")), F.lit(""))).alias("norm"))
+    same = F.when(F.col("text").isNull(), F.col("row").cast("string")).when(F.col("norm") == "", F.col("text")).otherwise(F.col("norm"))
+    sort = F.when(F.col("text").isNull(), 2).when(F.col("norm") == "", 1).otherwise(0)
+    keyed = norm.select("row", "id", F.xxhash64("text").alias("h"), F.xxhash64(same, sort).alias("k1"), F.xxhash64(sort, F.lit(7), same).alias("k2"), word_hashes(F.col("norm")).alias("words"))
     sketches = materialise(
-        keyed.mapInArrow(_sketcher(bands, rows, size), "id long, k1 long, k2 long, distinct long, bands array<long>, digest array<long>"),
+        keyed.mapInArrow(_sketcher(bands, rows, size), f"row long, id {kind(numbered, 'id')}, h long, k1 long, k2 long, distinct long, bands array<long>, bits array<long>"),
         "sketches",
     )
-    firsts = materialise(
-        sketches.groupBy("k1", "k2").agg(F.min(F.struct("id", "distinct", "bands", "digest")).alias("s")).select("k1", "k2", "s.*"),
-        "firsts",
-    )
-    found = _classes(src, firsts, threshold, size, bands * rows)
-    classes = firsts.select("k1", "k2", F.col("id").alias("first")).join(found, F.col("first") == F.col("node"), "left").select(
-        "k1", "k2", F.coalesce("component", "first").alias("class_id")
-    )
-    classes = materialise(classes, "classes")
-    out = sketches.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
-    lost = src.where("id is null").select("id", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
-    return out.union(lost).withColumnRenamed("id", id_col)
+    order = [F.col("id").isNull().alias("nameless"), F.col("id"), F.col("h"), F.col("row")]
+    firsts = sketches.groupBy("k1", "k2").agg(F.min(F.struct(*order, "distinct", "bands", "bits")).alias("s"))
+    firsts = materialise(firsts.select("k1", "k2", "s.*").withColumnRenamed("row", "node"), "firsts")
+    found = _classes(numbered, firsts, threshold, size)
+    named = firsts.select("nameless", "id", "k1", "k2", "h", "node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("class", F.coalesce("component", "node"))
+    named = materialise(named.drop("of", "component"), "classes")
+    least = materialise(named.groupBy("class").agg(F.min(F.struct("nameless", "id", "k1", "k2", "h", "node")).alias("best")).select("class", F.col("best.id").alias("class_id"), F.col("best.node").alias("best")), "least")
+    classes = materialise(named.select("k1", "k2", "class").join(least, "class").select("k1", "k2", "class_id", "best"), "classes")
+    return sketches.select("row", "id", "k1", "k2").join(classes, ["k1", "k2"]).select("row", "id", "class_id", (F.col("row") == F.col("best")).alias("kept"))
 
 
 def _near(x: str, y: str, threshold: float) -> Column:
@@ -262,99 +279,57 @@ def _near(x: str, y: str, threshold: float) -> Column:
     return F.least(x, y) >= F.greatest(x, y) * F.lit(threshold - 1e-9)
 
 
-def _alike(x: str, y: str, coordinates: int, threshold: float) -> Column:
-    """Whether the digests of two sketches leave a similarity of ``threshold`` likely: they agree in
-    no fewer coordinates than four standard deviations below what that similarity gives."""
-    ones = 0x1111111111111111
-    agree = F.lit(0)
-    words = -(-coordinates // 16)
-    for i in range(words):
-        d = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-        agree = agree + 16 - F.bit_count(d.bitwiseAND(F.lit(ones)))
-    p = threshold + (1 - threshold) / 16
-    least = coordinates * p - 4 * math.sqrt(coordinates * p * (1 - p)) + words * 16 - coordinates
-    return agree >= least
+def _bounded(pairs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps leave, with ``bound``, the most that their similarity can be."""
+    for x in ("a", "b"):
+        pairs = pairs.join(firsts.select(F.col("node").alias(x), F.col("distinct").alias("n" + x), F.col("bits").alias("bits" + x)), x)
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, n: t + n)
+    both = F.least(F.col("na") - alone("bitsa", "bitsb"), F.col("nb") - alone("bitsb", "bitsa"))
+    pairs = pairs.where(_near("na", "nb", threshold)).withColumn("both", both)
+    return pairs.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("bound")).where(F.col("bound") >= threshold - 1e-9)
 
 
-def _classes(src: DataFrame, firsts: DataFrame, threshold: float, size: int, coordinates: int) -> DataFrame:
+def _classes(numbered: DataFrame, firsts: DataFrame, threshold: float, size: int) -> DataFrame:
     """(node, component) of the texts that a verified link joins to others.
 
     Every text of a bucket is first compared with the bucket's most central text: the one whose own
     buckets hold the most. In a large group of near copies that is the text they were made from, so
-    each member costs a pair or a few. Texts that this doesn't join to their leader's class meet
-    again in their buckets, one for each class, with 64, 4096, ... leaders a round; there the digests of
-    the sketches decide in the join who is worth a look at the texts. That only makes the classes few: at
-    the end :func:`_open_pairs` gives all pairs of a bucket that are still apart, and those whose sizes fit
-    are verified, first the ones that the digests call alike, then all others that these haven't joined.
+    each member costs a pair or a few. What this leaves apart is compared in full: :func:`_open_pairs` gives
+    all pairs of a bucket that are still of different classes. Those that the exact bounds leave are verified, first
+    the likeliest of each text, then all others that these haven't joined.
     """
-    held = firsts.where("distinct > 0").select("id", "distinct", F.posexplode("bands").alias("band", "hash"))
+    held = firsts.where("distinct > 0").select("node", "distinct", F.posexplode("bands").alias("band", "hash"))
     crowd = held.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
     held = materialise(held.join(crowd, ["band", "hash"]), "members")
-    central = held.groupBy("id").agg(F.sum("n").alias("central"))
-    ranked = materialise(held.drop("n").join(central, "id"), "members")
-    buckets = ranked.select("band", "hash", "id", "distinct")
+    central = materialise(held.groupBy("node").agg(F.sum("n").alias("central")), "central")
+    ranked = materialise(held.drop("n").join(central, "node"), "members")
     drop(held)
     # The only shuffle of all texts; from here on those that share no bucket are out of the way.
-    texts = materialise(src.join(ranked.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
-    lead = ranked.groupBy("band", "hash").agg(F.max(F.struct("central", -F.col("id"), "id", "distinct")).alias("lead"))
-    fit = _near("distinct", "lead.distinct", threshold)
-    star = materialise(ranked.join(materialise(lead, "leads"), ["band", "hash"]).where(F.col("id") != F.col("lead.id")).withColumn("fit", fit), "star")
-    digests = firsts.select("id", "digest")
-    pairs = star.where("fit").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-    pairs = pairs.join(digests.select(F.col("id").alias("a"), F.col("digest").alias("da")), "a").join(digests.select(F.col("id").alias("b"), F.col("digest").alias("db")), "b")
-    pairs = materialise(pairs.where(_alike("da", "db", coordinates, threshold)).select("a", "b"), "pairs")
-    checked = materialise(_verified(texts, pairs, threshold, size), "checked")
-    known = materialise(components(checked.where("linked").select("a", "b")), "classes")
-
-    classed = star.select("band", "hash", "id", "central", "distinct", F.col("lead.id").alias("lead")).join(known, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component")
-    classed = classed.join(known, F.col("lead") == F.col("node"), "left").where(F.col("class") != F.coalesce("component", "lead"))
-    rest = classed.groupBy("band", "hash", "class").agg(F.min(F.struct(-F.col("central"), "id", "distinct")).alias("x"))
-    crowd = rest.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
-    rest = rest.join(crowd, ["band", "hash"], "left_semi").withColumn("node", F.col("x.id")).join(digests.withColumnRenamed("id", "node"), "node").drop("node")
-    rest = materialise(rest, "members")
-    leaders = 64
-    while not rest.isEmpty():
-        place = F.row_number().over(Window.partitionBy("band", "hash").orderBy("x"))
-        ranked = materialise(rest.withColumn("place", place), "members")
-        drop(rest)
-        heads = ranked.where(F.col("place") <= leaders).select("band", "hash", F.col("class").alias("class_a"), F.col("x").alias("y"), F.col("digest").alias("digest_a"), F.col("place").alias("place_a"))
-        fit = _near("x.distinct", "y.distinct", threshold)
-        on = (ranked["band"] == heads["band"]) & (ranked["hash"] == heads["hash"]) & (F.col("place_a") < F.col("place")) & fit & _alike("digest", "digest_a", coordinates, threshold)
-        met = ranked.join(heads, on)
-        pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.col("class").alias("class_b"), "class_a").dropDuplicates(["a", "b"])
-        pairs = materialise(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        fresh = materialise(_verified(texts, pairs.select("a", "b"), threshold, size), "checked")
-        checked = checked.unionByName(fresh)
-        joined = materialise(pairs.join(fresh.where("linked").select("a", "b"), ["a", "b"], "left_semi").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), "links")
-        if not joined.isEmpty():
-            known, merged = _merged(known, joined)
-            ranked = ranked.join(merged.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component")
-        done = ranked.where(F.col("place") <= leaders).select("band", "hash", "class").distinct()
-        left = ranked.where(F.col("place") > leaders).join(done, ["band", "hash", "class"], "left_anti").groupBy("band", "hash", "class").agg(F.min(F.struct("x", "digest")).alias("s")).select("band", "hash", "class", "s.*")
-        crowd = left.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
-        rest = materialise(left.join(crowd, ["band", "hash"], "left_semi"), "members")
-        leaders *= 64
-
-    pairs = materialise(_open_pairs(buckets, known, threshold).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if pairs.isEmpty():
+    texts = materialise(numbered.select(F.col("row").alias("node"), "text").join(central.select("node").hint("merge"), "node", "left_semi"), "texts")
+    firsts = materialise(firsts.select("node", "distinct", "bits").join(central.select("node"), "node", "left_semi"), "firsts")
+    lead = materialise(ranked.groupBy("band", "hash").agg(F.max(F.struct("central", -F.col("node"), "node", "distinct")).alias("lead")), "leads")
+    star = ranked.join(lead, ["band", "hash"]).where((F.col("node") != F.col("lead.node")) & _near("distinct", "lead.distinct", threshold))
+    pairs = star.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+    checked = materialise(_bounded(pairs, firsts, threshold).select("a", "b"), "pairs")
+    known = materialise(components(_verified(texts, checked, threshold, size)), "classes")
+
+    pairs = _open_pairs(ranked.select("band", "hash", "node", "distinct"), known, threshold).join(checked, ["a", "b"], "left_anti")
+    pairs = materialise(_bounded(pairs, firsts, threshold), "pairs")
+    each = pairs.select("a", "b", "bound", F.explode(F.array("a", "b")).alias("x"))
+    first = materialise(each.groupBy("x").agg(F.max(F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+    known = _merged(known, _verified(texts, first, threshold, size))
+    rest = materialise(_apart(pairs.join(first, ["a", "b"], "left_anti"), known).select("a", "b"), "pairs")
+    return _merged(known, _verified(texts, rest, threshold, size))
+
+
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` with further links between texts taken in."""
+    between = materialise(_apart(links, known).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "links")
+    if between.isEmpty():
         return known
-    alike = pairs.join(digests.select(F.col("id").alias("a"), F.col("digest").alias("da")), "a").join(digests.select(F.col("id").alias("b"), F.col("digest").alias("db")), "b")
-    pairs = materialise(alike.select("a", "b", _alike("da", "db", coordinates, threshold).alias("alike")), "pairs")
-    for first in (True, False):
-        fresh = materialise(_verified(texts, _apart(pairs.where(F.col("alike") == first), known).select("a", "b"), threshold, size), "checked")
-        joined = materialise(_apart(fresh.where("linked"), known).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "links")
-        if not joined.isEmpty():
-            known, _ = _merged(known, joined)
-    return known
-
-
-def _merged(known: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``known`` after links between classes, and the new class of each class that these move."""
-    merged = materialise(components(joined), "merged")
+    merged = materialise(components(between), "merged")
     moved = known.join(merged.select(F.col("node").alias("old"), F.col("component").alias("new")), F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
-    return materialise(moved.union(merged).distinct(), "classes"), merged
+    return materialise(moved.union(merged).distinct(), "classes")
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -370,32 +345,33 @@ def _open_pairs(buckets: DataFrame, known: DataFrame, threshold: float) -> DataF
     Those outside the largest class of a bucket meet all its members, in cells of about a thousand by a
     thousand, so that neither one class nor one bucket is a single task.
     """
-    classed = buckets.join(known, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component")
+    classed = buckets.join(known.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("class", F.coalesce("component", "node")).drop("of", "component")
     sizes = classed.groupBy("band", "hash", "class").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band", "hash").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("n")).where("classes > 1")
-    cells = lambda n: F.ceil(n / 1000).cast("int")
-    mixed = mixed.select("band", "hash", F.col("main.class").alias("main"), cells(F.col("n")).alias("across"), cells(F.col("n") - F.col("main.n")).alias("down"))
+    cells = lambda n: F.ceil(n / _CELL).cast("int")
+    mixed = materialise(mixed.select("band", "hash", F.col("main.class").alias("main"), cells(F.col("n")).alias("across"), cells(F.col("n") - F.col("main.n")).alias("down")), "mixed")
     members = materialise(classed.join(mixed, ["band", "hash"]), "members")
-    at = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
+    at = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
     few = members.where("class <> main").withColumn("row", at(F.col("down"))).withColumn("column", every(F.col("across")))
-    few = few.select("band", "hash", "row", "column", F.col("id").alias("x"), F.col("class").alias("class_x"), F.col("distinct").alias("distinct_x"))
+    few = few.select("band", "hash", "row", "column", F.col("node").alias("x"), F.col("class").alias("class_x"), F.col("distinct").alias("distinct_x"))
     every_one = members.withColumn("column", at(F.col("across"))).withColumn("row", every(F.col("down")))
     met = every_one.join(few, ["band", "hash", "row", "column"])
-    met = met.where((F.col("class") != F.col("class_x")) & ((F.col("class") == F.col("main")) | (F.col("x") < F.col("id"))) & _near("distinct", "distinct_x", threshold))
-    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    met = met.where((F.col("class") != F.col("class_x")) & ((F.col("class") == F.col("main")) | (F.col("x") < F.col("node"))) & _near("distinct", "distinct_x", threshold))
+    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, threshold: float, size: int) -> DataFrame:
-    """The similarity of each pair on whole texts; an id names one text.
+    """The pairs (a, b) that are linked, by their similarity on whole texts.
 
     The joins that carry texts are merge joins at every size, so that what is shuffled grows with
     the input and never with the choice of a plan.
     """
-    words = lambda c: word_hashes(normal_words(F.coalesce(F.col(c), F.lit(""))))
+    words = lambda c: word_hashes(normal_words(F.coalesce(valid(F.col(c)), F.lit(""))))
     joined = (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
         .select("a", "b", words("text_a").alias("words_a"), words("text_b").alias("words_b"))
     )
-    return joined.mapInArrow(_verifier(threshold, size), "a long, b long, similarity double, linked boolean")
+    found = joined.mapInArrow(_verifier(threshold, size), "a long, b long, similarity double, linked boolean")
+    return materialise(found.where("linked").select("a", "b"), "links")

@@ -11,19 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import content_key, fresh, materialise
 
 MIN_SITES, MIN_CHARS, BAND, LOG_K = 10, 12, 0.25, 12
+_PLACE = ["nameless", "id", "k1", "k2", "place"]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
+    """One row per line that is long enough. A document is known by two hashes of its id, text and site,
+    so texts that share an id are told apart and only rows equal in all three count as one."""
+    k1, k2 = content_key(F.col(id_col), F.col(text_col), F.col(site_col))
     line = F.trim(F.col("line"), F.lit(" \t\r"))
     return (
-        docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("place", "line"))
-        .select("id", "site", "place", line.alias("line"))
+        docs.select(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(site_col).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("place", "line"))
+        .select("nameless", "id", "k1", "k2", "site", "place", line.alias("line"))
         .where(F.length("line") >= min_chars)
-        .select("id", "site", "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+        .select("nameless", "id", "k1", "k2", "site", "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
     )
 
 
@@ -34,7 +37,7 @@ def boilerplate_lines(
     lines = _lines(docs, id_col, text_col, site_col, min_chars)
     wide = materialise(
         lines.groupBy("h1", "h2")
-        .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("sites"), F.min(F.struct("id", "place")).alias("first"))
+        .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("sites"), F.min(F.struct(*_PLACE)).alias("first"))
         .where(F.col("sites") >= min_sites * (1 - BAND)),
         "wide-lines",
     )
@@ -49,32 +52,34 @@ def remove_boilerplate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", *, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS
 ) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of ``text_col``, and with ``n_lines`` and
-    ``n_removed`` (columns of these names are replaced).
+    ``n_removed`` (columns of these names are replaced; all others pass through, whatever their names).
 
-    Lines are compared without blanks at their ends; shorter ones than ``min_chars`` stay. A null
-    site is no site. A null text has 0 lines and stays null, an empty one has one line and
-    stays empty; rows with a null id pass unchanged and count for no line. Repeated rows of an id
-    count as one document. Other columns pass through.
+    Lines are compared without blanks at their ends; shorter ones than ``min_chars`` stay. Ids may be
+    null, of any type, and repeated: each row is cleaned by its own text, and of places that tie for the first the
+    one of the least hash stays. Rows equal in id, text and site are treated alike and count as one document. A null
+    site is no site. A null text has 0 lines and stays null; an empty one has one line and
+    stays empty. A very long text is cut into lines by the task that holds its row.
     """
     docs = docs.drop("n_lines", "n_removed")
     found = materialise(boilerplate_lines(docs, id_col, text_col, site_col, min_sites=min_sites, min_chars=min_chars), "boilerplate")
+    one, two, gone = (fresh(docs, n) for n in ("row_one", "row_two", "gone"))
     hits = (
         _lines(docs, id_col, text_col, site_col, min_chars)
         .join(found, ["h1", "h2"])
-        .where("not (id = first.id and place = first.place)")
-        .groupBy("id")
-        .agg(F.collect_set("place").alias("__gone"))
-        .withColumnRenamed("id", "__id")
+        .where("not (k1 = first.k1 and k2 = first.k2 and place = first.place)")
+        .groupBy(F.col("k1").alias(one), F.col("k2").alias(two))
+        .agg(F.collect_set("place").alias(gone))
     )
+    k1, k2 = content_key(F.col(id_col), F.col(text_col), F.col(site_col))
     lines = F.split(text_col, "\n")
-    left = lambda cut: F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("__gone"))
+    left = lambda cut: F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(gone))
     # The text is cut once, as the one element of an array, and not once for each line that stays.
     text = F.get(F.transform(F.array(lines), lambda cut: F.array_join(F.transform(left(cut), lambda i: F.get(cut, i)), "\n")), F.lit(0))
-    joined = docs.join(hits, F.col(id_col) == F.col("__id"), "left")
+    joined = docs.withColumns({one: k1, two: k2}).join(hits, [one, two], "left")
     return joined.select(
-        *[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

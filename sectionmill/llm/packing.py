@@ -9,20 +9,22 @@ Pieces then find their place by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, materialise
+from .scratch import RUN, bound_batches, kind, materialise, run_starts, valid
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of a length that are ranked together.
-_RUN = 10_000
-_encoders: dict[str, object] = {}
+#: Words whose ids a task remembers, and characters of the longest of them.
+_WORDS, _LONGEST = 400_000, 64
+_encoders: dict[str, Callable[[str], list[int]]] = {}
 
 
 def default_tokenizer() -> str:
@@ -32,47 +34,59 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    """A function from a text to its ids in the vocabulary at ``path`` (a tokenizers file).
+def _by_words(path: str) -> bool:
+    """Whether the ids of a text are those of its words end to end.
 
-    The same vocabulary as ranks, if it lies beside the file, gives the same ids about four
-    times as fast; a text which that library can't take goes to the tokenizers library.
+    So it is for byte-level vocabularies without a normaliser: their pre-tokens hold a space at
+    their start only, or consist of white space, which gives its last space to what follows. A space before a
+    visible character therefore always starts a pre-token.
     """
-    if path not in _encoders:
-        import base64
-        import os
+    with open(path) as f:
+        told = json.load(f)
+    pre = told.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    return plain and not told.get("normalizer") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in told.get("added_tokens", []))
+
+
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """A function from a text to its ids, by the tokenizers library from the vocabulary at ``path``.
 
+    Where that can't change the ids, each word is encoded once a task and remembered.
+    """
+    if path not in _encoders:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        slow: list = []
-
-        def by_tokenizers(text: str) -> list[int]:
-            if not slow:
-                slow.append(Tokenizer.from_file(path))
-                slow[0].encode_special_tokens = True
-            return slow[0].encode(text, add_special_tokens=False).ids
-
-        ranks = os.path.splitext(path)[0] + ".tiktoken"
-        if os.path.exists(ranks):
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-
-            def encode(text: str) -> list[int]:
-                try:
-                    return fast.encode_ordinary(text)
-                except BaseException as e:
-                    if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-                        raise
-                    return by_tokenizers(text)
-
-            _encoders[path] = encode
-        else:
-            _encoders[path] = by_tokenizers
+        library = Tokenizer.from_file(path)
+        known: dict[str, list[int]] = {}
+
+        def whole(text: str) -> list[int]:
+            return library.encode(text, add_special_tokens=False).ids
+
+        def by_words(text: str) -> list[int]:
+            parts, last = [], None
+            for word in text.split(" "):
+                if last is None:
+                    last = word
+                elif "!" <= word[:1] <= "~":
+                    parts.append(last)
+                    last = " " + word
+                else:  # a blank or a letter beyond ASCII: leave the place to the library
+                    last += " " + word
+            parts.append(last)
+            out: list[int] = []
+            for part in parts:
+                ids = known.get(part)
+                if ids is None:
+                    ids = whole(part)
+                    if len(part) <= _LONGEST:
+                        if len(known) >= _WORDS:
+                            known.clear()
+                        known[part] = ids
+                out += ids
+            return out
+
+        _encoders[path] = by_words if _by_words(path) else whole
     return _encoders[path]
 
 
@@ -103,11 +117,12 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, toke
     """Pieces (id, piece, start, length, ids_crc32) of every document's ids and end id.
 
     A document of more than ``capacity`` ids is cut so that all pieces but the first are
-    full. A null text counts as empty: one piece, the end id.
+    full. A null text counts as empty: one piece, the end id. Broken UTF-8 counts as U+FFFD. A very long text
+    is encoded whole, by the task that holds its row.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_cutter(tokenizer or default_tokenizer(), capacity, end_id), "id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col(id_col).alias("id"), valid(F.col(text_col)).alias("text"))
+    return rows.mapInArrow(_cutter(tokenizer or default_tokenizer(), capacity, end_id), f"id {kind(rows, 'id')}, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], must: int, capacity: int) -> dict[int, int]:
@@ -162,21 +177,22 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: (id, piece, start, length, ids_crc32, sequence_id, offset).
 
-    Sequences hold at most ``capacity`` ids without gaps. Repeated rows and null ids are packed
-    like any others; columns other than the two named aren't read. An empty table gives no rows.
+    Sequences hold at most ``capacity`` ids without gaps. Ids may be of any type. Repeated rows and null ids
+    are packed like any others, each row for itself; columns other than the two named aren't read. An empty
+    table gives no rows. Pieces of one length are ranked by the place at which they were written, so
+    which of them shares a sequence with which may differ from run to run.
     """
     spark = docs.sparkSession
-    pieces = materialise(cut(docs, id_col, text_col, tokenizer=tokenizer, capacity=capacity, end_id=end_id), "pieces")
+    pieces = cut(docs, id_col, text_col, tokenizer=tokenizer, capacity=capacity, end_id=end_id)
+    pieces = materialise(pieces.withColumn("at", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    runs = spark.createDataFrame([(k, v // _RUN + 1) for k, v in histogram.items()], "length long, runs long")
+    runs = spark.createDataFrame([(k, v // RUN + 1) for k, v in histogram.items()], "length long, runs long")
     places = spark.createDataFrame(plan(histogram, capacity), "length long, from_rank long, to_rank long, first_sequence long, offset long")
-    spread = F.pmod(F.xxhash64("id", "piece"), F.col("runs"))
-    dealt = pieces.join(F.broadcast(runs), "length").withColumn("run", spread).drop("runs")
+    dealt = pieces.join(F.broadcast(runs), "length").withColumn("run", F.pmod(F.xxhash64("at"), F.col("runs"))).drop("runs")
     sizes = dealt.groupBy("length", "run").agg(F.count("*").alias("n"))
-    first = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = materialise(sizes.select("length", "run", first.alias("first")), "ranks")
-    place = F.row_number().over(Window.partitionBy("length", "run").orderBy("id", "piece", "ids_crc32"))
-    ranked = dealt.withColumn("place", place).join(firsts, ["length", "run"]).withColumn("rank", F.col("first") + F.col("place") - 1)
+    firsts = materialise(run_starts(sizes, ["length"], "n").withColumnRenamed("start", "start_"), "ranks")
+    place = F.row_number().over(Window.partitionBy("length", "run").orderBy("at"))
+    ranked = dealt.withColumn("place", place).join(firsts, ["length", "run"]).withColumn("rank", F.col("start_") + F.col("place") - 1)
     # The plan has at most a few rows for each length: its size doesn't grow with the input.
     return (
         ranked.join(F.broadcast(places), (ranked.length == places.length) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))

@@ -46,7 +46,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.fingerprints(_documents(spark, sf_dir))
-    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.array_join("changed", ",").alias("changed"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
