@@ -2,8 +2,10 @@
 
 A text's sentences are normalised and mapped to identifiers of known licence sentences; the
 sequence of identifiers is matched against ordered rules, each of which names a licence and the
-identifiers that must follow one another, with others between them allowed. Texts are read
-twice: line by line, and with single line ends taken as blanks, since notices are often wrapped.
+identifiers that must follow one another, with others between them allowed. A rule whose identifiers are a
+part of a longer rule's, in order, gives way where the longer one matches. Texts are read
+twice: line by line, and with single line ends taken as blanks, since notices are often wrapped. A tag line
+(``SPDX-License-Identifier: ...``) is one sentence with what follows the colon.
 """
 
 from __future__ import annotations
@@ -11,19 +13,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Names under which texts speak of a licence, and its identifier.
+NAMES = {
+    "MIT License": "MIT", "MIT Licence": "MIT", "Expat License": "MIT", "ISC License": "ISC", "zlib License": "Zlib", "Unlicense": "Unlicense",
+    "Apache License 2.0": "Apache-2.0", "Apache License, Version 2.0": "Apache-2.0", "Apache 2.0 License": "Apache-2.0", "Apache-2.0 License": "Apache-2.0",
+    "BSD 2-Clause License": "BSD-2-Clause", "Simplified BSD License": "BSD-2-Clause", "BSD 3-Clause License": "BSD-3-Clause", "New BSD License": "BSD-3-Clause", "Modified BSD License": "BSD-3-Clause",
+    "GNU General Public License v2.0": "GPL-2.0-only", "GNU General Public License, version 2": "GPL-2.0-only", "GPLv2": "GPL-2.0-only", "GPL-2.0": "GPL-2.0-only",
+    "GNU General Public License v3.0": "GPL-3.0-only", "GNU General Public License, version 3": "GPL-3.0-only", "GPLv3": "GPL-3.0-only", "GPL-3.0": "GPL-3.0-only",
+    "GNU Lesser General Public License v2.1": "LGPL-2.1-only", "GNU Lesser General Public License, version 2.1": "LGPL-2.1-only", "GNU Lesser General Public License v3.0": "LGPL-3.0-only", "GNU Lesser General Public License, version 3": "LGPL-3.0-only",
+    "GNU Affero General Public License v3.0": "AGPL-3.0-only", "GNU Affero General Public License, version 3": "AGPL-3.0-only", "AGPLv3": "AGPL-3.0-only",
+    "Mozilla Public License 2.0": "MPL-2.0", "Mozilla Public License, v. 2.0": "MPL-2.0", "MPL 2.0": "MPL-2.0", "Eclipse Public License 2.0": "EPL-2.0", "Eclipse Public License v2.0": "EPL-2.0", "Boost Software License 1.0": "BSL-1.0", "Boost Software License, Version 1.0": "BSL-1.0",
+    "Artistic License 2.0": "Artistic-2.0", "European Union Public Licence 1.2": "EUPL-1.2", "Open Software License 3.0": "OSL-3.0", "Academic Free License 3.0": "AFL-3.0", "PostgreSQL License": "PostgreSQL", "Python Software Foundation License": "PSF-2.0", "University of Illinois/NCSA Open Source License": "NCSA",
+    "SIL Open Font License 1.1": "OFL-1.1", "Do What The F*ck You Want To Public License": "WTFPL", "CC0 1.0 Universal": "CC0-1.0", "Creative Commons Zero v1.0 Universal": "CC0-1.0",
+    "Creative Commons Attribution 4.0 International License": "CC-BY-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License": "CC-BY-ND-4.0",
+    "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "CC-BY-NC-SA-4.0", "Creative Commons Attribution-ShareAlike 3.0 Unported License": "CC-BY-SA-3.0", "Creative Commons Attribution 3.0 Unported License": "CC-BY-3.0",
+    "CC BY 4.0": "CC-BY-4.0", "CC BY-SA 4.0": "CC-BY-SA-4.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC BY-ND 4.0": "CC-BY-ND-4.0", "CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "CC BY-NC-ND 4.0": "CC-BY-NC-ND-4.0", "CC BY 3.0": "CC-BY-3.0", "CC BY-SA 3.0": "CC-BY-SA-3.0", "CC0": "CC0-1.0",
+}
+#: The sentences in which a text says its licence; ``{}`` is a name.
+PHRASES = [
+    "Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "Distributed under the {}.", "Available under the {}.", "License: {}", "Licence: {}", "This work is licensed under {}.", "This work is licensed under the {}.", "This work is licensed under a {}.",
+    "This project is licensed under the {}.", "This software is licensed under the {}.", "This file is licensed under the {}.", "This program is licensed under the {}.", "This code is released under the {}.", "This software is released under the {}.", "The code is available under the {}.",
+]
+#: Identifiers that tag lines name besides those of ``NAMES``.
+TAGS = ["0BSD", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "GPL-2.0+", "GPL-3.0+", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-1.1", "EPL-1.0", "BSD-4-Clause", "CC-BY-2.0", "MIT-0", "MS-PL", "MS-RL", "CDDL-1.0", "Apache-1.1", "X11", "LPPL-1.3c", "UPL-1.0", "BlueOak-1.0.0", "MulanPSL-2.0"]
 #: Identifier and sentence.
 SENTENCES = {
-    "mit-released": "Released under the MIT License.",
-    "mit-licensed": "Licensed under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
-    "apache-2-licensed": "Licensed under the Apache License, Version 2.0.",
     "apache-2-header": "Licensed under the Apache License, Version 2.0 (the \"License\");",
     "apache-2-comply": "you may not use this file except in compliance with the License.",
     "apache-2-obtain": "You may obtain a copy of the License at",
     "apache-2-basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "gpl-3-work": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "gpl-received": "You should have received a copy of the GNU General Public License along with this program.",
@@ -31,12 +52,6 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "cc-by-nc-4": "Licensed under CC BY-NC 4.0.",
-    "cc-by-nc-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "cc-by-4": "Licensed under CC BY 4.0.",
-    "cc-by-4-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-sa-4": "Licensed under CC BY-SA 4.0.",
-    "cc-by-sa-4-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc0": "This work is dedicated to the public domain.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights": "All rights reserved.",
@@ -55,20 +70,10 @@ SENTENCES = {
 #: Licence and the sentences that must stand in this order.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
-    ("MIT", ["mit-released"]),
-    ("MIT", ["mit-licensed"]),
     ("Apache-2.0", ["apache-2-header", "apache-2-comply", "apache-2-obtain", "apache-2-basis"]),
-    ("Apache-2.0", ["apache-2-licensed"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-received"]),
-    ("GPL-3.0-only", ["gpl-3-work"]),
     ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-4-work"]),
-    ("CC-BY-4.0", ["cc-by-4"]),
-    ("CC-BY-4.0", ["cc-by-4-work"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa-4-work"]),
     ("CC0-1.0", ["cc0"]),
     ("Unlicense", ["unlicense"]),
     ("all-rights-reserved", ["all-rights"]),
@@ -85,6 +90,8 @@ RULES = [
     ("0BSD", ["0bsd-grant"]),
 ]
 _STOP = r"[.!?:;]+(?:[ \t\r\n]+|$)|\n+"
+#: What joins a tag to its identifier before texts are cut.
+_TAG, _JOINED = r"(?i)SPDX-License-Identifier:[ \t]*", "SPDX-License-Identifier "
 
 
 def normal(sentence: str) -> str:
@@ -115,7 +122,34 @@ def cut(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> tuple[
     return parts, [(licence, [part for name in wanted for part in names[name]]) for licence, wanted in rules]
 
 
-SENTENCES, RULES = cut(SENTENCES, RULES)
+def tables() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """All sentences and rules: those written out, every phrase with every name, and the tag lines."""
+    sentences, rules = dict(SENTENCES), list(RULES)
+    for i, (name, licence) in enumerate(NAMES.items()):
+        for j, phrase in enumerate(PHRASES):
+            sentences[f"said-{i}-{j}"] = phrase.format(name)
+            rules.append((licence, [f"said-{i}-{j}"]))
+    for licence in dict.fromkeys([*NAMES.values(), *TAGS]):
+        sentences[f"tag-{licence}"] = _JOINED + licence
+        rules.append((licence, [f"tag-{licence}"]))
+    return cut(sentences, rules)
+
+
+SENTENCES, RULES = tables()
+
+
+def _within(short: list[str], long: list[str]) -> bool:
+    left = iter(long)
+    return len(short) < len(long) and all(x in left for x in short)
+
+
+def split_rules(rules: list[tuple[str, list[str]]]) -> tuple[dict[str, int], list[tuple[int, list[str], list[int]]]]:
+    """Rules of one identifier as a table to their number, and those of more as (number, identifiers, longer): the
+    places of rules before which one gives way."""
+    number = {licence: i for i, licence in enumerate(dict.fromkeys(licence for licence, _ in rules))}
+    many = list({tuple(names): number[licence] for licence, names in rules if len(names) > 1}.items())
+    one = {names[0]: number[licence] for licence, names in reversed(rules) if len(names) == 1}
+    return one, [(n, list(names), [j for j, (other, _) in enumerate(many) if _within(list(names), list(other))]) for names, n in many]
 
 
 def identifiers(text: Column, sentences: dict[str, str]) -> Column:
@@ -125,7 +159,7 @@ def identifiers(text: Column, sentences: dict[str, str]) -> Column:
     text. Stops are taken only where a blank or the end follows.
     """
     known = {normal(s): name for name, s in sentences.items()}
-    said = F.transform(F.split(text, _STOP), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    said = F.transform(F.split(F.regexp_replace(text, _TAG, _JOINED), _STOP), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     found = F.filter(said, lambda s: s.isin(*known))
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return F.transform(found, lambda s: F.element_at(table, s))
@@ -138,36 +172,54 @@ def _follows(sequence: Column, names: list[str]) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """(id, sentence_ids, licences) for every row: two strings, comma-joined, empty if none.
 
-    ``licences`` are in the order of the rules, each once. A null text has none; repeated rows and
-    null ids are scanned like others. Columns other than the two named aren't read.
+    ``licences`` are in the order of the rules, each once. A null or empty text has none; repeated rows and
+    null ids, of any type, are scanned like others, very long texts whole. An empty table gives no rows. Columns other than the two named aren't read.
     """
     sentences, rules = cut(sentences or SENTENCES, rules or RULES)
+    one, many = split_rules(rules)
     text = F.coalesce(F.col(text_col), F.lit(""))
     seen = docs.select(
         F.col(id_col).alias("id"), identifiers(text, sentences).alias("by_line"),
         identifiers(F.regexp_replace(text, r"([^\n])\n([^\n])", "$1 $2"), sentences).alias("unwrapped"),
     )
     joined = lambda c: F.concat(F.lit("|"), F.array_join(c, "|"), F.lit("|"))
-    hits = [F.when(_follows(joined("by_line"), names) | _follows(joined("unwrapped"), names), F.lit(licence)) for licence, names in rules]
+    hits = [_follows(joined("by_line"), names) | _follows(joined("unwrapped"), names) for _, names, _ in many]
+    wins = []
+    for i, (n, _, longer) in enumerate(many):
+        won = hits[i]
+        for j in longer:
+            won &= ~hits[j]
+        wins.append(F.when(won, F.lit(n)))
+    table = F.create_map(*[F.lit(x) for pair in one.items() for x in pair])
+    single = F.transform(F.filter(F.concat("by_line", "unwrapped"), lambda x: x.isin(*one)), lambda x: F.element_at(table, x))
+    names = F.array(*[F.lit(x) for x in dict.fromkeys(licence for licence, _ in rules)])
+    numbers = F.array_sort(F.array_distinct(F.concat(single, F.array_compact(F.array(*wins)))))
+    # Most texts have no known sentence, and no rule is tried on them.
+    licences = F.when(F.size("by_line") + F.size("unwrapped") == 0, "").otherwise(F.array_join(F.transform(numbers, lambda n: F.get(names, n)), ","))
     ids = F.when(F.size("unwrapped") > F.size("by_line"), F.col("unwrapped")).otherwise(F.col("by_line"))
-    return seen.select(F.col("id").alias(id_col), F.array_join(ids, ",").alias("sentence_ids"), F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), ",").alias("licences"))
+    return seen.select(F.col("id").alias(id_col), F.array_join(ids, ",").alias("sentence_ids"), licences.alias("licences"))
 
 
 def _oracle() -> str:
     known = {normal(s): name for name, s in SENTENCES.items()}
-    table = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in known.items()) + "}"
+    one, many = split_rules(RULES)
+    made = lambda pairs: "MAP {" + ", ".join(f"'{k}': {v}" for k, v in pairs) + "}"
     stop = _STOP.replace(r"\n", "' || chr(10) || '").replace(r"\t", "' || chr(9) || '").replace(r"\r", "' || chr(13) || '")
-    ids = lambda t: f"list_filter(list_transform(regexp_split_to_array({t}, '{stop}'), lambda s: table_[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL)"
-    follows = lambda names: " OR ".join(f"regexp_matches('|' || coalesce(array_to_string({c}, '|'), '') || '|', '\\|" + r"\|(?:.*\|)?".join(names) + r"\|')" for c in ("a", "b"))
-    ordered: dict[str, list[str]] = {}
-    for licence, names in RULES:
-        ordered.setdefault(licence, []).append(follows(names))
-    hits = ", ".join(f"CASE WHEN {' OR '.join(w)} THEN '{licence}' END" for licence, w in ordered.items())
+    tag = _TAG.replace(r"\t", "' || chr(9) || '")
+    pieces = lambda t: f"regexp_split_to_array(regexp_replace({t}, '{tag}', '{_JOINED}', 'g'), '{stop}')"
+    ids = lambda t: f"list_filter(list_transform({pieces(t)}, lambda s: m[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL)"
+    follows = lambda names: "(" + " OR ".join(f"regexp_matches('|' || coalesce(array_to_string({c}, '|'), '') || '|', '\\|" + r"\|(?:.*\|)?".join(names) + r"\|')" for c in ("a", "b")) + ")"
+    hits = ", ".join(f"{follows(names)} AS h{i}" for i, (_, names, _) in enumerate(many))
+    wins = ", ".join("CASE WHEN " + " AND ".join([f"h{i}", *(f"NOT h{j}" for j in longer)]) + f" THEN {n} END" for i, (n, _, longer) in enumerate(many))
+    licences = ", ".join(f"'{x}'" for x in dict.fromkeys(licence for licence, _ in RULES))
     return f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {table} AS table_ FROM documents),
-s AS (SELECT doc_id, {ids("text")} AS a, {ids("regexp_replace(text, '([^' || chr(10) || '])' || chr(10) || '([^' || chr(10) || '])', '\\1 \\2', 'g')")} AS b FROM t)
+WITH known_ AS MATERIALIZED (SELECT {made((k, f"'{v}'") for k, v in known.items())} AS m, {made(one.items())} AS o),
+t AS (SELECT doc_id, coalesce(text, '') AS text, m, o FROM documents, known_),
+s AS (SELECT doc_id, o, {ids("text")} AS a, {ids("regexp_replace(text, '([^' || chr(10) || '])' || chr(10) || '([^' || chr(10) || '])', '\1 \2', 'g')")} AS b FROM t),
+h AS (SELECT *, {hits} FROM s),
+n AS (SELECT *, list_sort(list_distinct(list_filter(list_concat(list_transform(list_concat(a, b), lambda x: o[x]), [{wins}]), lambda x: x IS NOT NULL))) AS numbers FROM h)
 SELECT doc_id, coalesce(array_to_string(CASE WHEN len(b) > len(a) THEN b ELSE a END, ','), '') AS sentence_ids,
-  coalesce(array_to_string(list_filter([{hits}], lambda x: x IS NOT NULL), ','), '') AS licences FROM s
+  coalesce(array_to_string(list_transform(numbers, lambda i: ([{licences}])[i + 1]), ','), '') AS licences FROM n
 """
 
 

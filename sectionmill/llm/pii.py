@@ -15,13 +15,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
+from .scratch import bound_batches, kind, valid
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "url", "account", "secret"]
-#: Words before an account number, and before a secret.
-ACCOUNT_CUES = ["account", "acct", "iban", "passport", "ssn"]
-SECRET_CUES = ["api_key", "apikey", "passwd", "password", "secret", "token"]
+#: Words before an account number, and before a secret, in English, German, French and Spanish.
+ACCOUNT_CUES = [
+    "account", "acct", "iban", "swift", "bic", "routing", "sort code", "passport", "ssn", "social security", "tax id", "driver license", "licence no", "customer", "member", "patient", "policy", "student id", "employee id",
+    "konto", "kontonummer", "steuernummer", "steuer-id", "reisepass", "ausweis", "kundennummer", "versicherungsnummer", "compte", "passeport", "carte d'identité", "numéro fiscal", "sécurité sociale", "cuenta", "pasaporte", "dni", "nie", "nif", "número de cliente",
+]
+SECRET_CUES = [
+    "api_key", "api-key", "apikey", "api key", "access_key", "access key", "secret_key", "secret", "client_secret", "private_key", "private key", "auth_token", "access_token", "refresh_token", "token", "bearer", "passwd", "password", "passphrase", "pwd", "pin code", "credential",
+    "passwort", "kennwort", "zugangscode", "mot de passe", "clé", "contraseña", "clave",
+]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -136,12 +142,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans) for every row; spans (kind, start, end) by start and then by kind, in code points.
 
-    A null or empty text has no spans; repeated rows and null ids are scanned like others.
-    Columns other than the two named aren't read.
+    A null or empty text has no spans; repeated rows and null ids, of any type, are scanned like others, very long
+    texts whole. Broken UTF-8 counts as U+FFFD. An empty table gives no rows. Columns other than the two named aren't read.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(_scan, "id long, spans array<struct<kind:string,start:long,end:long>>")
+    rows = docs.select(F.col(id_col).alias("id"), valid(F.col(text_col)).alias("text"))
+    found = rows.mapInArrow(_scan, f"id {kind(rows, 'id')}, spans array<struct<kind:string,start:long,end:long>>")
     return found.withColumnRenamed("id", id_col)
 
 

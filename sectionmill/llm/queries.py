@@ -55,7 +55,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.media_columns(_documents(spark, sf_dir))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "intact")
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,10 @@ from .scratch import materialise
 #: Fixed values: (verdict, rule) of the production query.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: Labels below which a two-letter country suffix registers names.
-SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "org"]
+SECOND_LEVEL = [
+    "ac", "ad", "adv", "art", "asn", "asso", "biz", "cn", "co", "com", "ed", "edu", "eng", "firm", "gen", "go", "gob", "gouv", "gov", "govt", "gr", "gub", "id", "ind", "inf", "info", "k12", "lg", "ltd", "me", "med",
+    "mil", "mod", "ne", "net", "nhs", "nic", "nom", "or", "org", "plc", "police", "pro", "re", "res", "sch", "school", "tm", "web",
+]
 MOST_BAD, WIDTH = 0.3, 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,18 +34,27 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
-    """The host's public suffix: its last label, or two below a country's second level."""
-    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
-    two = r"(?:^|\.)((?:" + "|".join(SECOND_LEVEL) + r")\.[a-z]{2})$"
-    return F.when(bare.rlike(two), F.regexp_extract(bare, two, 1)).otherwise(F.substring_index(bare, ".", -1))
+def _bare(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: one label more than the suffix, or the whole host."""
-    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
-    two = r"((?:^|[^.]+\.)(?:" + "|".join(SECOND_LEVEL) + r")\.[a-z]{2})$"
-    return F.when(bare.rlike(two), F.regexp_extract(bare, two, 1)).otherwise(F.substring_index(bare, ".", -2))
+_ADDRESS = r"^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$"
+
+
+def suffix_of(host: Column, second_level: list[str] | None = None) -> Column:
+    """The host's public suffix: its last label, or two where a country registers names below a second level, by
+    a rule over ``second_level`` and any two-letter label. Addresses have the suffix ``(address)``."""
+    bare = _bare(host)
+    two = r"(?:^|\.)((?:" + "|".join(second_level or SECOND_LEVEL) + r")\.[a-z]{2})$"
+    return F.when(bare.rlike(_ADDRESS), "(address)").when(bare.rlike(two), F.regexp_extract(bare, two, 1)).otherwise(F.substring_index(bare, ".", -1))
+
+
+def domain_of(host: Column, second_level: list[str] | None = None) -> Column:
+    """The registered domain: one label more than the suffix, or the whole host, as for an address."""
+    bare = _bare(host)
+    two = r"((?:^|[^.]+\.)(?:" + "|".join(second_level or SECOND_LEVEL) + r")\.[a-z]{2})$"
+    return F.when(bare.rlike(_ADDRESS), bare).when(bare.rlike(two), F.regexp_extract(bare, two, 1)).otherwise(F.substring_index(bare, ".", -2))
 
 
 def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -89,7 +101,8 @@ def judge(pages: DataFrame, labels: DataFrame, *, page_label: Column, rules: lis
     ``page_label`` is the key of a page's label in ``labels`` (label_id, bad). A url that is null
     or has no ``://`` has an empty host, judged by what is known of such urls. Pages without a
     label, tables without labels and repeated rows are fine; labels of one key that differ all
-    count. With no label at all, the mean is a half and every host has the widest posterior.
+    count. With no label at all, the mean is a half and every host has the widest posterior. Page ids may
+    be null and repeated, urls very long; an empty table gives no rows. Other columns of ``pages`` aren't kept.
     """
     rules = RULES if rules is None else rules
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), page_label.alias("label_id"))
@@ -132,8 +145,8 @@ WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 v AS (SELECT *, TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.html|/)?$', 1) AS BIGINT) AS label_id, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM u),
 l AS (SELECT doc_id AS label_id, CAST(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 AS BIGINT) AS bad FROM labels WHERE doc_id IS NOT NULL),
-h AS (SELECT host, any_value(CASE WHEN regexp_matches(bare, '(?:^|\\.)(?:{_SECOND})\\.[a-z]{{2}}$') THEN regexp_extract(bare, '(?:^|\\.)((?:{_SECOND})\\.[a-z]{{2}})$', 1) ELSE string_split(bare, '.')[-1] END) AS suffix,
-  any_value(CASE WHEN regexp_matches(bare, '(?:^|[^.]+\\.)(?:{_SECOND})\\.[a-z]{{2}}$') THEN regexp_extract(bare, '((?:^|[^.]+\\.)(?:{_SECOND})\\.[a-z]{{2}})$', 1) ELSE array_to_string(string_split(bare, '.')[-2:], '.') END) AS domain,
+h AS (SELECT host, any_value(CASE WHEN regexp_matches(bare, '{_ADDRESS}') THEN '(address)' WHEN regexp_matches(bare, '(?:^|\\.)(?:{_SECOND})\\.[a-z]{{2}}$') THEN regexp_extract(bare, '(?:^|\\.)((?:{_SECOND})\\.[a-z]{{2}})$', 1) ELSE string_split(bare, '.')[-1] END) AS suffix,
+  any_value(CASE WHEN regexp_matches(bare, '{_ADDRESS}') THEN bare WHEN regexp_matches(bare, '(?:^|[^.]+\\.)(?:{_SECOND})\\.[a-z]{{2}}$') THEN regexp_extract(bare, '((?:^|[^.]+\\.)(?:{_SECOND})\\.[a-z]{{2}})$', 1) ELSE array_to_string(string_split(bare, '.')[-2:], '.') END) AS domain,
   count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM v LEFT JOIN l USING (label_id) GROUP BY host),
 w AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT mean FROM w) AS mean FROM h GROUP BY suffix),
