@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 from .scratch import RUN, bound_batches, kind, materialise, run_starts, valid
 
 CAPACITY, END_ID = 1024, 2
-#: Words whose ids a task remembers, and characters of the longest of them.
-_WORDS, _LONGEST = 400_000, 64
-_encoders: dict[str, Callable[[str], list[int]]] = {}
+#: Characters of the words whose ids a task remembers.
+_REMEMBERED = 16_000_000
+#: Words that are encoded in one text.
+_TOGETHER = 200
+_encoders: dict[str, "Encoder"] = {}
 
 
 def default_tokenizer() -> str:
@@ -37,68 +40,94 @@ def default_tokenizer() -> str:
 def _by_words(path: str) -> bool:
     """Whether the ids of a text are those of its words end to end.
 
-    So it is for byte-level vocabularies without a normaliser: their pre-tokens hold a space at
-    their start only, or consist of white space, which gives its last space to what follows. A space before a
-    visible character therefore always starts a pre-token.
+    So it is for byte-level vocabularies without a normaliser: a pre-token holds a space at its
+    start only, or else nothing but white space, and a run of white space leaves its last space to what follows.
+    So a space or a line end between two visible characters always parts two pre-tokens.
     """
     with open(path) as f:
         told = json.load(f)
     pre = told.get("pre_tokenizer") or {}
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-    return plain and not told.get("normalizer") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in told.get("added_tokens", []))
+    return plain and not told.get("normalizer") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].isascii() or set(t["content"]) & set(" \n") for t in told.get("added_tokens", []))
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """A function from a text to its ids, by the tokenizers library from the vocabulary at ``path``.
+def _visible(c: str) -> bool:
+    return "!" <= c <= "~" or c.isalnum()
 
-    Where that can't change the ids, each word is encoded once a task and remembered.
+
+#: A word with the space before it, or a line end; and what keeps a text from being cut into these.
+_WORDS = re.compile(r" ?[^ \n]+|\n").findall
+_OTHER_BLANKS = ("  ", " \n", "\n\n")
+
+
+class Encoder:
+    """Ids of texts, as little-endian unsigned 32-bit numbers, by the tokenizers library from the
+    vocabulary at ``path``.
+
+    Where that can't change the ids, each word is encoded once a task and remembered; a text with other white
+    space than single spaces and line ends between visible characters is encoded whole.
     """
-    if path not in _encoders:
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        library = Tokenizer.from_file(path)
-        known: dict[str, list[int]] = {}
-
-        def whole(text: str) -> list[int]:
-            return library.encode(text, add_special_tokens=False).ids
-
-        def by_words(text: str) -> list[int]:
-            parts, last = [], None
-            for word in text.split(" "):
-                if last is None:
-                    last = word
-                elif "!" <= word[:1] <= "~":
-                    parts.append(last)
-                    last = " " + word
-                else:  # a blank or a letter beyond ASCII: leave the place to the library
-                    last += " " + word
-            parts.append(last)
-            out: list[int] = []
-            for part in parts:
-                ids = known.get(part)
-                if ids is None:
-                    ids = whole(part)
-                    if len(part) <= _LONGEST:
-                        if len(known) >= _WORDS:
-                            known.clear()
-                        known[part] = ids
-                out += ids
-            return out
-
-        _encoders[path] = by_words if _by_words(path) else whole
+        self.library = Tokenizer.from_file(path)
+        self.by_words = _by_words(path)
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {"\n": np.array(self.line_end, "<u4").tobytes()}
+        self.odd: set[str] = set()
+        self.held = 0
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Encode words that aren't known yet, many in one line-separated text."""
+        self.held += sum(map(len, words))
+        odd = {w for w in words if not (_visible(w[w[0] == " "]) and _visible(w[-1]))}
+        self.odd |= odd
+        self.known.update(dict.fromkeys(odd, b""))
+        fresh = list(words - odd)
+        for i, raw in enumerate(self.whole(["\n".join(fresh[i : i + _TOGETHER]) for i in range(0, len(fresh), _TOGETHER)])):
+            some = fresh[i * _TOGETHER : (i + 1) * _TOGETHER]
+            ends = (np.flatnonzero(np.frombuffer(raw, "<u4") == self.line_end[0]) * 4).tolist()
+            if len(self.line_end) == 1 and len(ends) == len(some) - 1:
+                self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *(e + 4 for e in ends)], [*ends, len(raw)])), strict=True))
+            else:
+                self.known.update(zip(some, self.whole(some), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self.whole(texts)
+        if self.held > _REMEMBERED:
+            self.forget()
+        cut = [None if t.endswith(" ") or any(x in t for x in _OTHER_BLANKS) else _WORDS(t) for t in texts]
+        unknown = set().union(*(words for words in cut if words)) - self.known.keys()
+        if unknown:
+            self.learn(unknown)
+        get, odd = self.known.__getitem__, self.odd
+        return [self.whole([text])[0] if words is None or not odd.isdisjoint(words) else b"".join(map(get, words)) for text, words in zip(texts, cut, strict=True)]
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary; one for each process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 def _cutter(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = encode(text) if text else []
-                ids.append(end_id)
-                n, raw = len(ids), np.array(ids, "<u4").tobytes()
+            for i, raw in enumerate(encode([t or "" for t in batch.column("text").to_pylist()])):
+                raw += end
+                n = len(raw) // 4
                 a, b, k = 0, (n - 1) % capacity + 1, 0
                 while a < n:
                     row.append(i)
