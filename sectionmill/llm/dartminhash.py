@@ -313,8 +313,8 @@ def _classes(numbered: DataFrame, firsts: DataFrame, threshold: float, size: int
     checked = materialise(_bounded(pairs, firsts, threshold).select("a", "b"), "pairs")
     known = materialise(components(_verified(texts, checked, threshold, size)), "classes")
 
-    pairs = _open_pairs(ranked.select("band", "hash", "node", "distinct"), known, threshold).join(checked, ["a", "b"], "left_anti")
-    pairs = materialise(_bounded(pairs, firsts, threshold), "pairs")
+    pairs = _open_pairs(ranked.select("band", "hash", "node"), firsts, known, threshold)
+    pairs = materialise(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
     each = pairs.select("a", "b", "bound", F.explode(F.array("a", "b")).alias("x"))
     first = materialise(each.groupBy("x").agg(F.max(F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
     known = _merged(known, _verified(texts, first, threshold, size))
@@ -339,26 +339,65 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.where("class_a <> class_b")
 
 
-def _open_pairs(buckets: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of all texts that share a bucket, are of different classes and have fitting sizes.
+def _open_pairs(buckets: DataFrame, firsts: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, bound) of all texts that share a bucket, are of different classes, and that the exact bounds leave.
 
     Those outside the largest class of a bucket meet all its members, in cells of about a thousand by a
-    thousand, so that neither one class nor one bucket is a single task.
+    thousand, so that neither one class nor one bucket is a single task. A cell is one row; its pairs are bounded
+    where they meet, and only what the bounds leave is given out.
     """
     classed = buckets.join(known.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("class", F.coalesce("component", "node")).drop("of", "component")
     sizes = classed.groupBy("band", "hash", "class").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band", "hash").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("n")).where("classes > 1")
     cells = lambda n: F.ceil(n / _CELL).cast("int")
     mixed = materialise(mixed.select("band", "hash", F.col("main.class").alias("main"), cells(F.col("n")).alias("across"), cells(F.col("n") - F.col("main.n")).alias("down")), "mixed")
-    members = materialise(classed.join(mixed, ["band", "hash"]), "members")
+    members = materialise(classed.join(mixed, ["band", "hash"]).join(firsts.select("node", F.col("distinct").alias("size"), "bits"), "node"), "members")
     at = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
-    few = members.where("class <> main").withColumn("row", at(F.col("down"))).withColumn("column", every(F.col("across")))
-    few = few.select("band", "hash", "row", "column", F.col("node").alias("x"), F.col("class").alias("class_x"), F.col("distinct").alias("distinct_x"))
-    every_one = members.withColumn("column", at(F.col("across"))).withColumn("row", every(F.col("down")))
-    met = every_one.join(few, ["band", "hash", "row", "column"])
-    met = met.where((F.col("class") != F.col("class_x")) & ((F.col("class") == F.col("main")) | (F.col("x") < F.col("node"))) & _near("distinct", "distinct_x", threshold))
-    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    cell = ["band", "hash", "row", "column"]
+    one = F.struct("node", "class", "size", "bits")
+    few = members.where("class <> main").withColumn("row", at(F.col("down"))).withColumn("column", every(F.col("across"))).select(*cell, "main", F.lit(True).alias("few"), one.alias("one"))
+    every_one = members.withColumn("column", at(F.col("across"))).withColumn("row", every(F.col("down"))).select(*cell, "main", F.lit(False).alias("few"), one.alias("one"))
+    met = few.union(every_one).groupBy(*cell).agg(F.first("main").alias("main"), F.collect_list(F.when(F.col("few"), F.col("one"))).alias("few"), F.collect_list(F.when(~F.col("few"), F.col("one"))).alias("all"))
+    found = met.where("size(few) > 0 and size(all) > 0").select("main", "few", "all").mapInArrow(_bounder(threshold), "a long, b long, bound double")
+    return found.dropDuplicates(["a", "b"])
+
+
+def _bounder(threshold: float):
+    def columns(side: pa.ListArray) -> tuple[np.ndarray, ...]:
+        offsets = side.offsets.to_numpy()
+        values = side.values
+        take = lambda name: values.field(name).to_numpy(zero_copy_only=False)
+        bits = values.field("bits").values.to_numpy(zero_copy_only=False).view(_U).reshape(-1, BITS // 64)
+        return offsets, take("node"), take("class"), take("size"), bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], []]
+            few_at, few, few_class, few_size, few_bits = columns(batch.column("few"))
+            all_at, node, group, size, bits = columns(batch.column("all"))
+            for c, main in enumerate(batch.column("main").to_pylist()):
+                part = slice(all_at[c], all_at[c + 1])
+                n, k, s, theirs = node[part], group[part], size[part], bits[part]
+                for i in range(few_at[c], few_at[c + 1]):
+                    fit = (k != few_class[i]) & ((k == main) | (few[i] < n)) & (np.minimum(s, few_size[i]) >= np.maximum(s, few_size[i]) * (threshold - 1e-9))
+                    at = np.flatnonzero(fit)
+                    if not len(at):
+                        continue
+                    other = theirs[at]
+                    alone = np.bitwise_count(few_bits[i] & ~other).sum(axis=1, dtype=np.int64)
+                    lone = np.bitwise_count(other & ~few_bits[i]).sum(axis=1, dtype=np.int64)
+                    both = np.minimum(few_size[i] - alone, s[at] - lone)
+                    bound = both / (few_size[i] + s[at] - both)
+                    good = bound >= threshold - 1e-9
+                    at = at[good]
+                    out[0].append(np.minimum(n[at], few[i]))
+                    out[1].append(np.maximum(n[at], few[i]))
+                    out[2].append(bound[good])
+            a, b, bound = (np.concatenate(x) if x else np.zeros(0) for x in out)
+            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(bound.astype(np.float64))], names=["a", "b", "bound"])
+
+    return run
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, threshold: float, size: int) -> DataFrame:
