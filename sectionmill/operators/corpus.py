@@ -34,7 +34,7 @@ def write_titles(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A folder per publication and title, one file each; the slugs lead the sort so that it lasts."""
     keys = ["pub_slug", "title_slug"]
     (
-        lines.repartition(*keys).sortWithinPartitions(*keys, *GROUP, F.col("nodeid").asc_nulls_first(), "seq")
+        lines.repartition(*keys).sortWithinPartitions(*keys, *GROUP, F.col("seq").isNotNull(), F.col("nodeid").asc_nulls_first(), "seq")
         .select(*keys, "value").write.mode(mode).partitionBy(*keys).text(path)
     )
 
@@ -90,31 +90,30 @@ def title_facts(records: DataFrame) -> DataFrame:
     )
 
 
-def title_markdown(records: DataFrame) -> DataFrame:
-    """(pub_slug, title_slug, pub, tit, markdown): one document per title."""
+def markdown_blocks(records: DataFrame) -> DataFrame:
+    """(pub_slug, title_slug, pub, tit, nodeid, seq, value): the blocks of each title's document, each with the line end
+    before it: a title and facts first (``seq`` null), then the records in reading order. In order and a line end
+    after each, they are the document; no title is ever one value."""
     rows = emitted_headings(records)
     notes = X.footnote_lines(unique_footnotes(F.col("footnotes")))
     block = F.array_join(F.concat(F.col("headings"), F.filter(F.array("rest", notes), lambda x: X.filled(x))), "\n\n")
-    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("nodeid", F.lit("")).alias("nodeid"), "seq", block.alias("block"))))
-    place = F.struct(F.coalesce("nodeid", F.lit("")).alias("nodeid"), "seq")
-    volume = F.min_by("volume", F.when(X.filled(F.col("volume")), place))
-    docs = rows.groupBy("pub_slug", "title_slug", *GROUP).agg(
-        ordered.alias("blocks"), F.when(X.filled(F.max("volume")), volume).alias("volume"), F.min_by("jurisdiction", place).alias("jurisdiction"), F.min_by("retrieved_at", place).alias("retrieved_at"), F.count("*").alias("n")
-    )
+    order = [F.col("nodeid").asc_nulls_first(), F.col("seq")]
+    rows = rows.select("pub_slug", "title_slug", *GROUP, "nodeid", "seq", block.alias("block")).where("block <> ''")
+    last = F.lead("seq").over(Window.partitionBy(*GROUP).orderBy(*order)).isNull()
+    bodies = rows.withColumn("value", F.concat(F.lit("\n"), F.when(last, F.regexp_replace("block", rf"(?U){X.WS}+\z", "")).otherwise(F.col("block")))).drop("block")
     title = F.concat(F.lit("# "), F.col("tit"), F.when(F.col("volume").isNotNull(), F.concat(F.lit(" — "), F.col("volume"))).otherwise(""))
     facts = F.filter(F.array("pub", "jurisdiction", F.concat(F.col("n").cast("string"), F.lit(" sections")), F.concat(F.lit("retrieved "), F.left(F.coalesce("retrieved_at", F.lit("")), F.lit(10)))), lambda x: X.filled(x))
-    meta = F.concat(F.lit("*"), F.array_join(facts, " · "), F.lit("*"))
-    blocks = F.filter(F.transform("blocks", lambda b: b["block"]), lambda b: b != "")
-    text = F.array_join(F.concat(F.array(title, meta), blocks), "\n\n")
-    return docs.select("pub_slug", "title_slug", *GROUP, F.concat(F.regexp_replace(text, rf"(?U){X.WS}+\z", ""), F.lit("\n")).alias("markdown"))
+    head = F.concat(title, F.lit("\n\n*"), F.array_join(facts, " · "), F.lit("*"))
+    null = F.lit(None)
+    heads = title_facts(records).select(X.slug(F.col("pub")).alias("pub_slug"), X.slug(F.col("tit")).alias("title_slug"), *GROUP, null.cast("string").alias("nodeid"), null.cast("long").alias("seq"), head.alias("value"))
+    return heads.unionByName(bodies.withColumn("seq", F.col("seq").cast("long")))
 
 
 def compile_markdown(records: DataFrame, path: str) -> DataFrame:
-    """Write one text per title; returns the statistics with the number of files."""
-    found = title_markdown(records)
-    keys = ["pub_slug", "title_slug"]
-    found.repartition(*keys).sortWithinPartitions(*keys, *GROUP).select(*keys, F.col("markdown").alias("value")).write.mode("overwrite").option("lineSep", "\n").partitionBy(*keys).text(path)
-    return corpus_stats(records).withColumn("files", F.col("titles"))
+    """Write one text per title, block by block; returns the statistics with the number of files."""
+    write_titles(markdown_blocks(records), path)
+    files = grouped(records).select("pub_slug", "title_slug").distinct().agg(F.count("*").alias("files"))
+    return corpus_stats(records).crossJoin(F.broadcast(files))  # a row each
 
 
 def slug_collisions(records: DataFrame) -> DataFrame:

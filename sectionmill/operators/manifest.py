@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -33,7 +33,7 @@ def event_urn() -> Column:
 
 
 def fold_rows(state: dict[str, dict], events: Iterable[dict]) -> dict[str, dict]:
-    """Apply ordered events to rows by key, in place; the helper of the urns that need every step."""
+    """Apply ordered events to rows by key, in place; the helper of the stream, whose batches bring few events of a urn."""
     for e in events:
         key, kind = e["section_key"], e["kind"]
         row = state.get(key)
@@ -59,22 +59,39 @@ def _records(pdf: pd.DataFrame) -> list[dict]:
     return pdf.astype(object).where(pdf.notna(), None).to_dict("records")
 
 
-def _fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = fold_rows({}, _records(pdf.sort_values("seq")))
-    return pd.DataFrame(list(rows.values()), columns=COLUMNS)
-
-
 def fold(events: DataFrame) -> DataFrame:
-    """The manifest that ``events`` leave. Windows by key do it, but for bare urns that another
-    key supersedes: those keys alone go to the helper, with a mark for each superseding event."""
+    """The manifest that ``events`` leave, by windows alone: what a superseding harvest does to the bare urn's
+    row is a mark among the events of that key."""
     named = events.select(*EVENT_COLUMNS).withColumn("urn", event_urn())
-    marks = named.where((F.col("kind") == "harvested") & (F.col("section_key") != F.col("urn")))
-    urns = marks.select(F.col("urn").alias("section_key")).distinct()
-    stepwise = named.join(urns, "section_key", "left_semi").unionByName(
-        marks.select(*[F.col(c) for c in EVENT_COLUMNS]).withColumns({"section_key": F.col("urn"), "kind": F.lit(SUPERSEDED)})
-    )
-    small = stepwise.groupBy("section_key").applyInPandas(_fold_group, MANIFEST)
-    return fold_by_window(named.join(urns, "section_key", "left_anti")).unionByName(small)
+    return fold_by_window(settled(named, named))
+
+
+def settled(events: DataFrame, later: DataFrame) -> DataFrame:
+    """``events`` without those before the last mark that deleted the row of their key; the harvests in ``later``
+    mark the keys that they supersede.
+
+    Marks cut a key's events into runs. A row is deleted at a mark unless it is done there. So a run has one of three effects:
+    it leaves the row done whatever came before (a done comes last, after a harvest of the run's own), it leaves it not
+    done (a failure comes last), or it leaves it as it was, absent or done. The last run with one of the first two effects decides.
+    """
+    marks = later.where((F.col("kind") == "harvested") & (F.col("section_key") != F.col("urn")))
+    marks = marks.select(*[F.col("urn") if c == "section_key" else F.lit(SUPERSEDED).alias("kind") if c == "kind" else F.col(c) for c in EVENT_COLUMNS])
+    marks = marks.toDF(*EVENT_COLUMNS)
+    superseded = marks.select("section_key").distinct()
+    key = Window.partitionBy("section_key")
+    is_mark, harvested, ended = F.col("kind") == SUPERSEDED, F.col("kind") == "harvested", F.col("kind").isin(_ENDS)
+    before = key.orderBy("seq", F.col("kind") == SUPERSEDED).rowsBetween(Window.unboundedPreceding, -1)
+    run = events.join(superseded, "section_key", "left_semi").select("section_key", "seq", "kind").unionByName(marks.select("section_key", "seq", "kind"))
+    run = run.withColumn("run", F.coalesce(F.sum(F.when(is_mark, 1).otherwise(0)).over(before), F.lit(0)))
+    run = run.withColumn("first", F.min(F.when(harvested, F.col("seq"))).over(Window.partitionBy("section_key", "run")))
+    runs = run.groupBy("section_key", "run").agg(
+        F.max(F.when(is_mark, F.col("seq"))).alias("mark"), F.max_by("kind", F.when(ended, F.col("seq"))).alias("last"), F.max_by("kind", F.when(ended & (F.col("seq") > F.col("first")), F.col("seq"))).alias("last_own")
+    ).where("mark is not null")
+    effect = F.when(F.col("last_own") == "done", "done").when(F.col("last") == "failed", "absent")
+    after = F.coalesce(F.last(effect, ignorenulls=True).over(key.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)), F.lit("absent"))
+    resets = runs.withColumn("after", after).where("after = 'absent'").groupBy(F.col("section_key").alias("__key")).agg(F.max("mark").alias("__reset"))
+    kept = events.join(resets, F.col("section_key") == F.col("__key"), "left").where(F.col("__reset").isNull() | (F.col("seq") > F.col("__reset")))
+    return kept.drop("__key", "__reset")
 
 
 def fold_by_window(events: DataFrame) -> DataFrame:
@@ -117,13 +134,7 @@ def upsert(snapshot: DataFrame, events: DataFrame) -> DataFrame:
     A harvest of the snapshot never supersedes a bare urn of the snapshot: it has been settled.
     """
     named = events.select(*EVENT_COLUMNS).withColumn("urn", event_urn())
-    marks = named.where((F.col("kind") == "harvested") & (F.col("section_key") != F.col("urn")))
-    old = snapshot_events(snapshot)
-    both = old.unionByName(named)
-    urns = marks.select(F.col("urn").alias("section_key")).distinct()
-    marked = marks.withColumns({"section_key": F.col("urn"), "kind": F.lit(SUPERSEDED)})
-    small = both.join(urns, "section_key", "left_semi").unionByName(marked.select(*both.columns)).groupBy("section_key").applyInPandas(_fold_group, MANIFEST)
-    return fold_by_window(both.join(urns, "section_key", "left_anti")).unionByName(small)
+    return fold_by_window(settled(snapshot_events(snapshot).unionByName(named), named))
 
 
 def migrate(old: DataFrame) -> DataFrame:
@@ -143,6 +154,15 @@ def write_snapshot(manifest: DataFrame, folder: str, version: int) -> str:
     return path
 
 
+def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version that was written to its end; an empty manifest if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = [p.getPath().toString() for p in files.listStatus(at) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p.getPath(), "_SUCCESS"))] if files.exists(at) else []
+    newest = max((p for p in whole if p.rsplit("/", 1)[-1].startswith("v")), default=None)
+    return spark.createDataFrame([], MANIFEST) if newest is None else spark.read.schema(MANIFEST).parquet(newest)
+
+
 def pending(manifest: DataFrame, title: str | None = None) -> DataFrame:
     rows = manifest.where("status <> 'done'")
     return rows.where(F.col("title") == title) if title else rows

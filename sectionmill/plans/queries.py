@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import nodeid as N
@@ -13,6 +13,7 @@ from ..functions import urls as U
 from ..operators import audit, corpus, manifest, pages, records, sections
 from ..sources import tables, toc
 from ..streaming import replay
+from ..workspace import new_folder
 from . import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,7 +228,12 @@ def src7_done_records(spark: SparkSession, d: str) -> DataFrame:
 
 @register("snk5_migrate_manifest", with_manifest("SELECT urn AS section_key, urn, heading, coalesce(status, 'pending') AS status, CAST(NULL AS VARCHAR) AS record FROM man"))
 def snk5_migrate_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return manifest.migrate(_manifest(spark, d).drop("section_key", "record", "path")).select("section_key", "urn", "heading", "status", "record")
+    """A snapshot of the older layout, migrated, written as the newest version and read from there."""
+    folder = new_folder(spark, "manifest")
+    now = _manifest(spark, d)
+    manifest.write_snapshot(now, folder, 1)
+    manifest.write_snapshot(manifest.migrate(now.drop("section_key", "record", "path")), folder, 2)
+    return manifest.read_snapshot(spark, folder).select("section_key", "urn", "heading", "status", "record")
 
 
 @register("flt3_pending", with_manifest("SELECT section_key, status FROM man WHERE status <> 'done' AND title = 'Title 3'"))
@@ -493,10 +499,10 @@ def jn1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return sections.hierarchies(sections.first_by_key(sections.section_keys(n)), n).select("section_key", _flat("hierarchy"))
 
 
-@register("jn2_subtree", with_nodes("SELECT n2.nid AS root, nodes.nodeid, nodes.seq FROM nodes JOIN n2 ON starts_with(nodes.nodeid, n2.nid) AND nodes.nodeid <> n2.nid WHERE n_nationkey % 5 = 0"))
+@register("jn2_subtree", with_nodes("SELECT n2.nid AS root, nodes.nodeid, nodes.seq FROM nodes JOIN n2 ON starts_with(nodes.nodeid, n2.nid) AND nodes.nodeid <> n2.nid"))
 def jn2_subtree(spark: SparkSession, d: str) -> DataFrame:
     n = _nodes(spark, d)
-    return sections.subtree(n, n.where("level = 2 and (seq - 1000) % 5 = 0"), "nodeid").select("root", "nodeid", "seq")
+    return sections.subtree(n, n.where("level = 2"), "nodeid").select("root", "nodeid", "seq")
 
 
 @register("jn5_stranded", with_nodes("SELECT nodeid FROM nodes WHERE has_children AND nodeid NOT IN (SELECT left(nodeid, length(nodeid) - 3) FROM nodes WHERE length(nodeid) > 3)"))
@@ -527,8 +533,6 @@ def win4_last_label(spark: SparkSession, d: str) -> DataFrame:
 @register("srt1_reading_order", with_sections("SELECT row_number() OVER (PARTITION BY title ORDER BY nodeid, seq) AS place, title, section_key FROM sec"))
 def srt1_reading_order(spark: SparkSession, d: str) -> DataFrame:
     rows = sections.reading_order(_sections(spark, d), ["title"]).withColumn("at", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-
     return rows.select(F.row_number().over(Window.partitionBy("title").orderBy("at")).cast("long").alias("place"), "title", "section_key")
 
 
@@ -556,15 +560,21 @@ def with_records(sql: str) -> str:
     return f"WITH {RECORDS} {sql}"
 
 
+def _read_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a written corpus with their title's slugs and their place in the title's file."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    place = F.row_number().over(Window.partitionBy("pub_slug", "title_slug").orderBy("at")).cast("long")
+    return spark.read.text(folder).select("pub_slug", "title_slug", "value", at.alias("at")).select("pub_slug", "title_slug", place.alias("place"), "value")
+
+
 @register("snk1_jsonl", with_records(f"""SELECT {_slug_sql("pub")} AS pub_slug, {_slug_sql("tit")} AS title_slug, row_number() OVER (PARTITION BY pub, tit ORDER BY nodeid, seq) AS place, 'urn:contentItem:D' || doc_id AS urn, body AS body_markdown,
   CASE WHEN notes THEN 'Note 2 of ' || doc_id END AS note2 FROM rec"""))
 def snk1_jsonl(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    lines = corpus.json_lines(A.records(spark, d))
+    """The corpus written to files and read from them again."""
+    folder = new_folder(spark, "jsonl")
+    corpus.compile_jsonl(A.records(spark, d), folder)
     j = lambda path: F.get_json_object("value", path)
-    place = F.row_number().over(Window.partitionBy("pub", "tit").orderBy(F.col("nodeid").asc_nulls_first(), "seq")).cast("long")
-    return lines.select("pub_slug", "title_slug", place.alias("place"), j("$.contentitem_urn").alias("urn"), j("$.body_markdown").alias("body_markdown"), j("$.footnotes.2").alias("note2"))
+    return _read_lines(spark, f"{folder}/titles").select("pub_slug", "title_slug", "place", j("$.contentitem_urn").alias("urn"), j("$.body_markdown").alias("body_markdown"), j("$.footnotes.2").alias("note2"))
 
 
 _HEADS = """hd AS (SELECT *, list_concat(hierarchy, [head]) AS path FROM rec), pv AS (SELECT *, lag(path) OVER (PARTITION BY pub, tit ORDER BY nodeid, seq) AS prev FROM hd),
@@ -584,10 +594,13 @@ def win5_heading_promotion(spark: SparkSession, d: str) -> DataFrame:
 @register("snk2_markdown", with_records(f""", {_HEADS},
   fx AS (SELECT pub, tit, arg_min(volume, nodeid) AS volume, count(*) AS n FROM rec GROUP BY ALL),
   bl AS (SELECT pub, tit, string_agg(array_to_string(list_concat(headings, list_filter([rest, CASE WHEN notes THEN '[^1]: Note 1 of ' || doc_id || chr(10) || '[^2]: Note 2 of ' || doc_id END], lambda x: coalesce(x, '') <> '')), chr(10) || chr(10)), chr(10) || chr(10) ORDER BY nodeid, seq) AS blocks FROM he GROUP BY ALL)
-  SELECT {_slug_sql("pub")} AS pub_slug, {_slug_sql("tit")} AS title_slug, pub, tit, rtrim('# ' || tit || CASE WHEN volume IS NOT NULL THEN ' — ' || volume ELSE '' END || chr(10) || chr(10) || '*' || pub || ' · England & Wales · ' || n || ' sections · retrieved 2026-01-02*' || chr(10) || chr(10) || blocks, ' ' || chr(10)) || chr(10) AS markdown
+  SELECT {_slug_sql("pub")} AS pub_slug, {_slug_sql("tit")} AS title_slug, rtrim('# ' || tit || CASE WHEN volume IS NOT NULL THEN ' — ' || volume ELSE '' END || chr(10) || chr(10) || '*' || pub || ' · England & Wales · ' || n || ' sections · retrieved 2026-01-02*' || chr(10) || chr(10) || blocks, ' ' || chr(10)) || chr(10) AS markdown
   FROM bl JOIN fx USING (pub, tit)"""))
 def snk2_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.title_markdown(A.records(spark, d))
+    """The documents written to files, a title each, and read from them again."""
+    folder = new_folder(spark, "markdown")
+    corpus.compile_markdown(A.records(spark, d), folder)
+    return spark.read.text(folder, wholetext=True).select("pub_slug", "title_slug", F.col("value").alias("markdown"))
 
 
 @register("agg3_corpus_stats", with_records("SELECT count(DISTINCT pub) AS publications, count(DISTINCT pub || '/' || tit) AS titles, count(*) AS records FROM rec"))
@@ -611,9 +624,14 @@ def par4_section_documents(spark: SparkSession, d: str) -> DataFrame:
     return records.section_documents(A.records(spark, d)).select("contentitem_urn", "document")
 
 
-@register("par3_page_text", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '[ \\t]+', ' ', 'g')) AS heading FROM pages")
+_TEXT = r"regexp_replace(replace({x}, '&quot;', chr(34)), '&amp;?', '&', 'g')"
+_PAGE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<h1>', chr(10) || chr(10) || '# ', 'g'), '</?(p|h1)>', chr(10) || chr(10), 'g'), '<br>', chr(10), 'g'), '<b>', '', 'g')"
+
+
+@register("par3_page_text", f"""SELECT page_id, trim(regexp_replace({_TEXT.format(x="regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, '[ \\t]+', ' ', 'g')) AS heading,
+  trim(regexp_replace(regexp_replace(regexp_replace({_TEXT.format(x=_PAGE)}, '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS body_markdown FROM pages""")
 def par3_page_text(spark: SparkSession, d: str) -> DataFrame:
-    return pages.page_texts(A.table(spark, d, "pages")).select("page_id", "heading")
+    return pages.page_texts(A.table(spark, d, "pages")).select("page_id", "heading", "body_markdown")
 
 
 def _section_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -624,23 +642,30 @@ def _section_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     secs = o.select(key.alias("section_key"), path(F.col("cust")).alias("source_url"), F.lit(None).cast("string").alias("heading"), F.concat(F.lit("O."), key, F.when(F.col("o_orderkey") % 20 == 0, "x").otherwise("")).alias("anchor_id"), F.lit(False).alias("body_only"))
     unit = F.concat(F.lit('<a id="O.'), key, F.lit('"></a><br><h2 class="SS_Banner">Order</h2><ul class="SS_List"><li><span class="SS_ListLabel">(1)</span><span>'), F.col("o_orderpriority"), F.lit('</span></li></ul><p>Priced <span class="SS_it">at</span> '), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(".</p>"))
     units = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", unit.alias("u")))), lambda s: s["u"]), "")
-    docs = o.groupBy("cust").agg(units.alias("u")).select(path(F.col("cust")).alias("url"), F.concat(F.lit('<div class="SS_contentdocument"><header class="SS_DocumentHeader">Orders</header>'), "u", F.lit("</div>")).alias("html"))
+    start = F.when(F.col("cust").cast("long") % 17 == 0, F.lit("<div>")).otherwise(F.lit('<div class="SS_contentdocument"><header class="SS_DocumentHeader">Orders</header>'))
+    docs = o.groupBy("cust").agg(units.alias("u")).where("cast(cust as long) % 34 <> 0").select(path(F.col("cust")).alias("url"), F.concat(start, "u", F.lit("</div>")).alias("html"))
     return secs, docs
 
 
-@register("par1_parse_sections", """SELECT CAST(o_orderkey AS VARCHAR) AS section_key, 'Order' AS heading, '* (1) ' || o_orderpriority || chr(10) || chr(10) || 'Priced *at* ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || '.' AS body_markdown, TRUE AS anchor_found FROM orders WHERE o_orderkey % 20 <> 0""")
+_ORDER = "'* (1) ' || o_orderpriority || chr(10) || chr(10) || 'Priced *at* ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || '.'"
+
+
+@register("par1_parse_sections", f"""WITH o AS (SELECT *, {_ORDER} AS body FROM orders), w AS (SELECT o_custkey, string_agg(body, chr(10) || chr(10) ORDER BY o_orderkey) AS whole FROM o GROUP BY o_custkey)
+  SELECT CAST(o_orderkey AS VARCHAR) AS section_key, CASE WHEN o_custkey % 17 = 0 THEN NULL WHEN o_orderkey % 20 = 0 THEN 'Orders' ELSE 'Order' END AS heading, CASE WHEN o_custkey % 17 = 0 THEN NULL WHEN o_orderkey % 20 = 0 THEN whole ELSE body END AS body_markdown,
+  o_custkey % 17 > 0 AND o_orderkey % 20 > 0 AS anchor_found, CASE WHEN o_custkey % 34 = 0 THEN 'ParseError: no such document' WHEN o_custkey % 17 = 0 THEN 'ParseError: no content container' END AS error FROM o JOIN w USING (o_custkey)""")
 def par1_parse_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections that are found, that miss their anchor, and whose documents are missing or hold no content."""
     secs, docs = _section_pages(spark, d)
-    return pages.parse_sections(secs, docs).where("anchor_found").select("section_key", "heading", "body_markdown", "anchor_found")
+    return pages.parse_sections(secs, docs).select("section_key", "heading", "body_markdown", "anchor_found", "error")
 
 
-@register("qa7_anchor_misses", "SELECT 'urn:contentItem:C' || o_custkey AS urn, count(*) AS sections, count(*) FILTER (o_orderkey % 20 = 0) AS misses FROM orders GROUP BY o_custkey")
+@register("qa7_anchor_misses", "SELECT 'urn:contentItem:C' || o_custkey AS urn, count(*) AS sections, count(*) FILTER (o_orderkey % 20 = 0 OR o_custkey % 17 = 0) AS misses FROM orders GROUP BY o_custkey")
 def qa7_anchor_misses(spark: SparkSession, d: str) -> DataFrame:
     secs, docs = _section_pages(spark, d)
     return pages.anchor_misses(pages.parse_sections(secs, docs), secs).select(F.regexp_extract("doc", "urn:contentItem:C[0-9]+", 0).alias("urn"), "sections", "misses")
 
 
-@register("jn3_section_documents", "SELECT CAST(o_orderkey AS VARCHAR) AS section_key, 'urn:contentItem:C' || o_custkey AS urn FROM orders")
+@register("jn3_section_documents", "SELECT CAST(o_orderkey AS VARCHAR) AS section_key, 'urn:contentItem:C' || o_custkey AS urn FROM orders WHERE o_custkey % 34 <> 0")
 def jn3_section_documents(spark: SparkSession, d: str) -> DataFrame:
     secs, docs = _section_pages(spark, d)
     s = secs.select("section_key", pages.doc_key(F.col("source_url")).alias("doc"))
@@ -728,14 +753,11 @@ def str3_latest_progress(spark: SparkSession, d: str) -> DataFrame:
     return replay.replay_latest_progress(_run_events(spark, d))
 
 
-@register("str4_incremental_compile", with_records(f"SELECT {_slug_sql('pub')} AS pub_slug, {_slug_sql('tit')} AS title_slug, count(*) AS n, string_agg('urn:contentItem:D' || doc_id, ',' ORDER BY pub, tit, nodeid, seq) AS urns FROM rec GROUP BY 1, 2"))
+@register("str4_incremental_compile", with_records(f"SELECT {_slug_sql('pub')} AS pub_slug, {_slug_sql('tit')} AS title_slug, row_number() OVER (PARTITION BY pub, tit ORDER BY nodeid, seq) AS place, 'urn:contentItem:D' || doc_id AS urn FROM rec"))
 def str4_incremental_compile(spark: SparkSession, d: str) -> DataFrame:
     """Records arrive in parts; each part rewrites the titles it touches. Lines are read back in file order."""
-    out = replay.replay_compile(A.records(spark, d))
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    lines = spark.read.text(out).select("pub_slug", "title_slug", F.get_json_object("value", "$.contentitem_urn").alias("urn"), place.alias("place"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "urn"))), lambda s: s["urn"])
-    return lines.groupBy("pub_slug", "title_slug").agg(F.count("*").alias("n"), F.array_join(ordered, ",").alias("urns"))
+    lines = _read_lines(spark, replay.replay_compile(A.records(spark, d)))
+    return lines.select("pub_slug", "title_slug", "place", F.get_json_object("value", "$.contentitem_urn").alias("urn"))
 
 
 @register("snk3_failures_log", "SELECT 'urn:contentItem:U' || user_id || chr(9) || CASE WHEN user_id % 11 > 0 THEN 'Title ' || (user_id % 11) ELSE '' END || chr(9) || (event_id % 100) || chr(9) || 'ParseError: ' || left(repeat('bad ', 100), 200) AS line FROM events WHERE event_type = 'error'")

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import new_folder
 from .streams import incremental_compile, latest, latest_progress, manifest_stream, title_progress
 
-_local: list[str] = []
 #: Arrivals into which a table is cut, in order of ``seq``.
 PARTS = 3
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that isn't set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _local:
-            _local.append("file://" + tempfile.mkdtemp(prefix="sectionmill-"))
-        base = _local[0]
-    return f"{base.rstrip('/')}/replay-{uuid.uuid4().hex}"
+    """A new folder in the one that the cluster shares."""
+    return new_folder(spark, "replay")
 
 
 def replay(events: DataFrame, folder: str, start: Callable) -> None:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -53,6 +53,14 @@ def latest_progress(events: DataFrame) -> DataFrame:
     return events.where("kind = 'section'").groupBy("title").agg(newest.alias("x")).select("title", "x.*")
 
 
+#: Folders over which the kept records are dealt by their title, so that a batch reads those of its titles alone.
+SHARDS = 1024
+
+
+def _shard() -> Column:
+    return F.pmod(F.xxhash64("pub_slug", "title_slug"), F.lit(SHARDS)).cast("int").alias("shard")
+
+
 def incremental_compile(records: DataFrame, all_records: str, path: str, checkpoint: str) -> StreamingQuery:
     """Write the titles that each batch of a stream of finished records touches, and no others.
 
@@ -62,9 +70,12 @@ def incremental_compile(records: DataFrame, all_records: str, path: str, checkpo
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(all_records)
+        keyed = grouped(batch).select(*batch.columns, _shard()).withColumn("batch", F.lit(number))
+        keyed.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "batch").parquet(all_records)
         touched = grouped(batch).select("pub_slug", "title_slug").distinct()
-        whole = json_lines(spark.read.parquet(all_records).drop("batch")).join(touched, ["pub_slug", "title_slug"], "left_semi")
+        shards = [r["shard"] for r in touched.select(_shard()).distinct().collect()]  # SHARDS rows at most
+        kept = spark.read.parquet(all_records).where(F.col("shard").isin(shards)).drop("shard", "batch")
+        whole = json_lines(kept).join(touched, ["pub_slug", "title_slug"], "left_semi")
         keep = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:

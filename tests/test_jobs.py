@@ -1,10 +1,11 @@
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from sectionmill.operators import audit, corpus, htmlmd, manifest, pages, records, sections
+from sectionmill.operators import audit, corpus, manifest, pages, records, sections
 from sectionmill.schemas import FOOTNOTES, MANIFEST_EVENTS, TOC_NODES
 from sectionmill.sources import tables, toc
 from sectionmill.streaming import replay, streams
@@ -160,50 +161,79 @@ ANNOTATED = """<div class="SS_contentdocument"><div class="SS_HK"><span><a id="K
 <a id="K.S50"></a><br><h2 class="SS_Banner">50. More</h2><div class="SS_Indent"><ul class="SS_List"><li><span class="SS_ListLabel">(1)</span><span class="SS_ListItemContent">Kites fly.</span></li></ul><dl><dt><a id="K.S50.KITE"></a>kite</dt><dd>a toy</dd><dt><a id="K.S50.LINE"></a>line</dt><dd>a cord</dd></dl><div style="display: none;">hidden</div></div></span></div></div>"""
 
 
-def parse(html, **kw):
-    return pages.parse_section(htmlmd.parse_html(html), **kw)
+WORK = "doc string, section_key string, heading string, anchor string, body_only boolean"
 
 
-def test_slice_and_footnotes():
-    r = parse(SHARED, anchor_id="W.15.001", heading="Kinds of kite")
-    assert r["body_markdown"] == "First kite text[^1]." and r["footnotes"] == [{"n": "1", "text": "A linked note."}] and r["anchor_found"]
-    assert parse(SHARED, anchor_id="W.15.002")["body_markdown"] == "Second kite text."
-    missing = parse(SHARED, anchor_id="W.9")
-    assert not missing["anchor_found"] and "Second kite" in missing["body_markdown"] and missing["footnotes"][0]["text"].endswith("\n    continued")
+@pytest.fixture(scope="module")
+def parsed(spark):
+    asked = [
+        ("s", "W.15.001", "Kinds of kite", False), ("s", "W.15.002", None, False), ("s", "W.9", None, False), ("a", "K.S5", None, True), ("a", "K.S5.C_5-01", None, False), ("a", "K.S5.C_5-02", None, False),
+        ("a", "K.S50", None, False), ("a", "K.S50.KITE", None, False), ("a", "K.S50.LINE", None, False), ("t", None, None, False), ("n", None, None, False), ("x", None, None, False), ("b", None, "Own", False),
+    ]
+    titled = '<h1 class="documentTitle"> The <b>title</b> </h1><div class="SS_HK"><p class="SS_DraftingNote">draft</p><p>x&nbsp;&#8212;&#x2014;&bogus;</p></div>'
+    nested = '<div class="SS_HK"><a id="U.1"></a><p>one</p><div><h2>Of two</h2><div><a id="U.2"></a><p>two</p></div></div><p>tail</p></div>'
+    docs = spark.createDataFrame([("s", SHARED), ("a", ANNOTATED), ("t", titled), ("n", nested), ("b", "<p>bare</p>")], "doc string, html string")
+    work = spark.createDataFrame([(d, f"{d}/{a}", h, a, b) for d, a, h, b in [*asked, ("n", "U.1", None, False), ("n", "U.2", None, False)]], WORK)
+    return {r["section_key"]: r for r in pages.parse(work, docs).collect()}
 
 
-def test_annotations_are_units():
-    five = parse(ANNOTATED, anchor_id="K.S5", body_only=True)["body_markdown"]
-    assert five == "Old words keep their *sense*."
-    one, two = (parse(ANNOTATED, anchor_id=f"K.S5.C_5-0{i}")["body_markdown"] for i in (1, 2))
-    assert one == "### [5.01] Origin\n\nMade in spring." and two == "### [5.02] Uses\n\nUsed in summer."
-    fifty = parse(ANNOTATED, anchor_id="K.S50")["body_markdown"]
-    assert "(1) Kites fly." in fifty and "hidden" not in fifty and "Citator" not in fifty
+def test_slice_and_footnotes(parsed):
+    r = parsed["s/W.15.001"]
+    assert r["body_markdown"] == "First kite text[^1]." and [tuple(f) for f in r["footnotes"]] == [("1", "A linked note.")] and r["anchor_found"] and r["heading"] == "Kinds of kite"
+    assert parsed["s/W.15.002"]["body_markdown"] == "Second kite text." and parsed["s/W.15.002"]["heading"] == "[15.002] Others" and parsed["s/W.15.002"]["footnotes"] == []
+    missing = parsed["s/W.9"]
+    assert not missing["anchor_found"] and "Second kite" in missing["body_markdown"] and missing["footnotes"][0]["text"].endswith("\n    continued") and missing["heading"] == "(1) Kinds"
 
 
-def test_definition_keeps_its_body_unless_strict():
-    assert "a toy" in parse(ANNOTATED, anchor_id="K.S50.KITE")["body_markdown"] and "a cord" not in parse(ANNOTATED, anchor_id="K.S50.KITE")["body_markdown"]
-    assert "a toy" not in parse(ANNOTATED, anchor_id="K.S50.KITE", strict=True)["body_markdown"]
+def test_annotations_are_units(parsed):
+    assert parsed["a/K.S5"]["body_markdown"] == "Old words keep their *sense*."
+    assert parsed["a/K.S5.C_5-01"]["body_markdown"] == "### [5.01] Origin\n\nMade in spring." and parsed["a/K.S5.C_5-02"]["body_markdown"] == "### [5.02] Uses\n\nUsed in summer."
+    assert parsed["a/K.S50"]["body_markdown"] == "* (1) Kites fly.\n\nkite\n: a toy\n\nline\n: a cord"
 
 
-@pytest.mark.parametrize(("html", "want"), [
+def test_a_unit_ends_before_the_element_that_holds_the_next(parsed):
+    assert parsed["n/U.1"]["body_markdown"] == "one" and parsed["n/U.2"]["body_markdown"] == "two"
+
+
+def test_definition_keeps_its_body_unless_strict(spark, parsed):
+    assert parsed["a/K.S50.KITE"]["body_markdown"] == "kite\n: a toy" and parsed["a/K.S50.LINE"]["body_markdown"] == "line\n: a cord"
+    work = spark.createDataFrame([("a", "k", None, "K.S50.KITE", False)], WORK)
+    assert pages.parse(work, spark.createDataFrame([("a", ANNOTATED)], "doc string, html string"), strict=True).first()["body_markdown"] == "kite"
+
+
+def test_titles_errors_and_references(parsed):
+    assert parsed["t/None"]["heading"] == "The title" and parsed["t/None"]["body_markdown"] == "> draft\n\nx ——&bogus;"
+    assert parsed["x/None"]["error"] == "ParseError: no such document" and parsed["b/None"]["error"] == "ParseError: no content container" and parsed["b/None"]["heading"] == "Own"
+
+
+MARKDOWN = [
     ("<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>", "* a\n+ b\n* c"), ("<ol start='3'><li>x<li>y</ol>", "3. x\n4. y"), ("<p>a<br>b</p><p>c</p>", "a\nb\n\nc"),
-    ("<p>one <b> two </b>three<i></i></p>", "one **two** three"), ("<blockquote><p>q</p></blockquote>", "> q"), ("<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>", "| A | B |\n| --- | --- |\n| 1 | 2 |"),
-    ("<h2>T <i>x</i></h2>text", "## T *x*\n\ntext"), ("<img src='s' alt='a'>", "![a](s)"), ("a &amp; b <script>x</script>", "a & b x"), ("", ""),
-])
-def test_markdown(html, want):
-    assert htmlmd.tidy(htmlmd.to_markdown(htmlmd.parse_html(html))) == want
+    ("<p>one <b> two </b>three<i></i></p>", "one **two** three"), ("<blockquote><p>q</p><p>r</p></blockquote>", "> q\n>\n> r"), ("<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>", "| A | B |\n| --- | --- |\n| 1 | 2 |"),
+    ("<h2>T <i>x</i></h2>text", "## T *x*\n\ntext"), ("<img src='s' alt='a'>", "![a](s)"), ("a &amp; b <script>x</script>", "a & b"), ("", ""), ("<![foo[x]]>y<p>z", "y\n\nz"), ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+    ("<table><tr><td>1</td><td>2</td></tr></table>", "| | |\n| --- | --- |\n| 1 | 2 |"), ("<pre>a\n b</pre>", "```\na\nb\n```"), ("<p><b>never closed<p>x", "never closed\n\nx"), ("<p title='a > b'>t</p>", "t"), ("1 < 2", "1 < 2"),
+]
+
+
+def test_markdown(spark):
+    rows = [(i, f'<div class="c">{html}</div>') for i, (html, _) in enumerate(MARKDOWN)] + [(100, None), (101, "<p>no container</p>"), (0, f'<div class="c">{MARKDOWN[0][0]}</div>'), (None, '<div class="c">of no id</div>')]
+    got = pages.page_texts(spark.createDataFrame(rows, "page_id long, html string"), container_tags=(), containers=("c",)).collect()
+    assert len(got) == len(rows)
+    by = {r["page_id"]: r for r in got}
+    assert [by[i]["body_markdown"] for i in range(len(MARKDOWN))] == [want for _, want in MARKDOWN]
+    assert by[100]["error"] == "ParseError: no such document" and by[101]["error"] == "ParseError: no content container" and by[None]["body_markdown"] == "of no id"
 
 
 def test_parse_job_shares_documents(spark):
     url = "https://x/?pdmfid=1&pddocfullpath=%2Fshared%2Fdocument%2Fd"
     secs = spark.createDataFrame([("a", url + "&n=1", None, "W.15.001", False), ("b", url + "&n=2", "Own", "W.15.002", False), ("c", "https://none", None, None, None), ("d", "https://bare", None, None, None)], "section_key string, source_url string, heading string, anchor_id string, body_only boolean")
     docs = spark.createDataFrame([(url + "&other", SHARED), ("https://bare", "<p>x</p>"), ("https://unused", None)], "url string, html string")
-    got = {r["section_key"]: r for r in pages.parse_sections(secs, docs).collect()}
+    out = pages.parse_sections(secs, docs)
+    got = {r["section_key"]: r for r in out.collect()}
     assert got["a"]["body_markdown"] == "First kite text[^1]." and got["b"]["heading"] == "Own"
     assert got["c"]["error"].startswith("ParseError") and got["d"]["error"].startswith("ParseError")
-    misses = pages.anchor_misses(pages.parse_sections(secs, docs), secs).collect()
-    assert [(r["sections"], r["misses"]) for r in misses] == [(2, 0)]
+    assert [(r["sections"], r["misses"]) for r in pages.anchor_misses(out, secs).collect()] == [(2, 0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 # --- corpus ----------------------------------------------------------------------------------
@@ -222,14 +252,24 @@ ROWS = [
 ]
 
 
-def test_markdown_documents(spark):
-    docs = {(r["pub_slug"], r["title_slug"]): r["markdown"] for r in corpus.title_markdown(recs(spark, ROWS)).collect()}
-    text = docs[("works-of-hong-kong", "cap-1")]
-    assert text == (
+def test_markdown_documents(spark, tmp_path):
+    assert corpus.compile_markdown(recs(spark, ROWS), f"{tmp_path}/md").first()["files"] == 2
+    docs = {(r["pub_slug"], r["title_slug"]): r["value"] for r in spark.read.text(f"{tmp_path}/md", wholetext=True).collect()}
+    assert docs[("works-of-hong-kong", "cap-1")] == (
         "# CAP 1 — Volume 3\n\n*Works of Hong Kong · Hong Kong · 3 sections · retrieved 2026-08-13*\n\n## PART II\n\n### 7. Kinds\n\n* (1) Kites.\n\n#### [7.01] Origin\n\nMade.\n\n[^1]: C\n[^2]: B\n\n#### [7.02] Note\n\nCited.\n")
     assert docs[("unknown", "untitled")].endswith("\n\n## (untitled)\n")
 
 
+def test_snapshots(spark, tmp_path):
+    folder = f"file://{tmp_path}/m"
+    assert manifest.read_snapshot(spark, folder).count() == 0
+    rows = manifest.fold(spark.createDataFrame([(0, 0.0, "harvested", "u", "u", None, "t", None, "h", None, None, None)], MANIFEST_EVENTS))
+    manifest.write_snapshot(rows, folder, 9)
+    manifest.write_snapshot(rows.limit(0), folder, 8)
+    (tmp_path / "m" / "v0000000010").mkdir()  # a version that was never finished
+    assert [r["section_key"] for r in manifest.read_snapshot(spark, folder).collect()] == ["u"]
+
+
 def test_compiled_files(spark, tmp_path):
     out = f"{tmp_path}/out"
     stats = corpus.compile_jsonl(recs(spark, ROWS).repartition(5), out).first()
@@ -237,7 +277,6 @@ def test_compiled_files(spark, tmp_path):
     lines = [json.loads(r[0]) for r in spark.read.text(f"{out}/titles/pub_slug=works-of-hong-kong/title_slug=cap-1").select("value").collect()]
     assert [x["pdtocnodeidentifier"] for x in lines] == ["AABAAB", "AABAABAAB", "AABAABAAC"] and lines[1]["footnotes"] == {"1": "C", "2": "B"} and "heading" not in lines[0] and lines[0]["breadcrumb"] is None
     assert spark.read.text(f"{out}/corpus").count() == 4
-    assert corpus.compile_markdown(recs(spark, ROWS), f"{out}/md").first()["files"] == 2
     assert corpus.slug_collisions(recs(spark, [("A b", "T", *ROWS[0][2:]), ("a-B", "T", *ROWS[0][2:])])).first()["n"] == 2
     fail = spark.createDataFrame([("u", None, "1", "ParseError", "m" * 300)], "urn string, title string, number string, error_type string, message string")
     corpus.append_failures(fail, f"{out}/failures")
@@ -293,15 +332,43 @@ def test_small_audits(spark):
 def test_plans_have_no_product_and_no_lone_window(spark, sf_dir):
     from sectionmill.plans import queries
 
-    for name in ("flagship_sections", "snk2_markdown", "set2_manifest_fold", "jn1_hierarchy", "win3_heading_emission"):
+    for name in ("flagship_sections", "set2_manifest_fold", "jn1_hierarchy", "win3_heading_emission"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "SinglePartition" not in plan, name
 
 
-def test_registered_queries_run(spark, sf_dir):
+def test_registered_queries_equal_their_sql(spark, sf_dir):
+    """Every query of the library that has SQL, against DuckDB on the smallest tables."""
+    duckdb = pytest.importorskip("duckdb")
     from sectionmill.plans import queries
 
+    con = duckdb.connect()
+    for path in sorted(Path(sf_dir).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
     assert set(queries.SQL) <= set(queries.QUERIES)
     for name, query in queries.QUERIES.items():
-        if name.startswith(("col", "agg", "flt", "win")):
-            assert query(spark, sf_dir).count() >= 0, name
+        got = query(spark, sf_dir)
+        columns = sorted(got.columns)
+        rows = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr)
+        if name in queries.SQL:
+            found = con.execute(queries.SQL[name])
+            names = [c[0] for c in found.description]
+            want = sorted((tuple(r[names.index(c)] for c in columns) for r in found.fetchall()), key=repr)
+            assert columns == sorted(names) and rows == want, name
+
+
+def test_the_library_stands_without_llm(tmp_path):
+    """With the subpackage and the pipeline gone, all other queries are there; a broken import inside isn't hidden."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "sectionmill", tmp_path / "sectionmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    say = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q), any(n.startswith('op') or n == 'pipeline' for n in q))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    from sectionmill.plans import queries
+
+    assert say().stdout.split() == [str(len(queries.QUERIES)), "False"]
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_thing\n")
+    assert say().returncode and "no_such_thing" in say().stderr
