@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sectionmill.llm import components as C
 from sectionmill.llm import dartminhash as D
@@ -98,10 +99,15 @@ def test_all_pairs_of_a_bucket_are_compared(spark):
 
 
 def test_edges(spark):
-    rows = [(1, "Alpha beta."), (2, "alpha  BETA"), (3, None), (4, None), (5, ""), (6, ""), (7, "!!"), (8, "??"), (9, "!!"), (None, "alpha beta"), (11, "alpha beta gamma"), (2, "alpha  BETA")]
+    rows = [(1, "Alpha beta."), (2, "alpha  BETA"), (3, None), (4, None), (5, ""), (6, ""), (7, "!!"), (8, "??"), (9, "!!"), (None, "alpha beta"), (11, "alpha beta gamma"), (2, "alpha  BETA"), (None, "of none"), (2, "its own text"), (12, None), (12, "x y"), (12, "x y")]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
     got = Counter((r["doc_id"], r["class_id"], r["kept"]) for r in D.near_duplicates(df).collect())
-    assert got == Counter({(1, 1, True): 1, (2, 1, False): 2, (3, 3, True): 1, (4, 4, True): 1, (5, 5, True): 1, (6, 5, False): 1, (7, 7, True): 1, (9, 7, False): 1, (8, 8, True): 1, (None, None, True): 1, (11, 11, True): 1})
+    want = [(1, 1, True), (2, 1, False), (2, 1, False), (None, 1, False), (3, 3, True), (4, 4, True), (5, 5, True), (6, 5, False), (7, 7, True), (9, 7, False), (8, 8, True), (11, 11, True), (None, None, True), (2, 2, True), (12, 12, True), (12, 12, True), (12, 12, False)]
+    assert got == Counter(want)
+    left = D.deduplicated(df.withColumn("row", F.lit("own")))
+    assert left.columns == [*df.columns, "row"] and Counter(r["doc_id"] for r in left.collect()) == Counter(i for i, _, kept in want if kept)
+    named = D.near_duplicates(spark.createDataFrame([("b", "x y"), ("a", "X y!")], "doc_id string, text string")).collect()
+    assert {(r["doc_id"], r["class_id"], r["kept"]) for r in named} == {("a", "a", True), ("b", "a", False)}
     assert D.near_duplicates(df.limit(0)).count() == 0
     long = " ".join(f"x{i % 977}y{i % 31}" for i in range(60_000))
     two = spark.createDataFrame([(1, long), (2, long + " tail of it")], "doc_id long, text string")
@@ -119,14 +125,30 @@ def test_sketches_agree_as_the_weighted_similarity():
     assert (alone[0] == sketch[0]).all()
 
 
-def test_digests_count_agreement():
+def test_bitmaps_bound_the_similarity():
     rng = np.random.default_rng(2)
-    a = rng.integers(0, 2**63, (1, 144)).astype(np.uint64)
-    b = a.copy()
-    b[0, :44] += np.uint64(1)
-    x, y = D.digests(a), D.digests(b)
-    nibbles = lambda d: [int(w) >> (4 * i) & 15 for w in d[0] for i in range(16)]
-    assert 100 <= sum(p == q for p, q in zip(nibbles(x), nibbles(y), strict=True)) <= 110
+    for share in (0.3, 0.8, 0.95, 1.0):
+        n = 3000 if share == 0.8 else 200
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = a.copy()
+        b[: n - int(n * share)] = rng.integers(0, 2**63, n - int(n * share)).astype(np.uint64)
+        x, y = D.bitmaps(np.repeat([0, 1], n), np.concatenate([a, b]), 2)
+        both = min(n - np.bitwise_count(x & ~y).sum(), n - np.bitwise_count(y & ~x).sum())
+        assert both / (2 * n - both) >= len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+
+
+def test_drifting_families_stay_whole(spark):
+    """Links between members that lead no bucket: each text is near the next few only."""
+    rng = random.Random(4)
+    rows, vocabulary = [], [f"v{i}" for i in range(3000)]
+    for _ in range(3):
+        words = [rng.choice(vocabulary) for _ in range(120)]
+        for _ in range(60):
+            rows.append((len(rows), " ".join(words)))
+            for _ in range(rng.choice([1, 1, 1, 2])):
+                words[rng.randrange(120)] = rng.choice(vocabulary)
+    got = {r["doc_id"]: r["class_id"] for r in D.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
 
 
 def test_components(spark):
