@@ -171,9 +171,9 @@ def parsed(spark):
         ("a", "K.S50", None, False), ("a", "K.S50.KITE", None, False), ("a", "K.S50.LINE", None, False), ("t", None, None, False), ("n", None, None, False), ("x", None, None, False), ("b", None, "Own", False),
     ]
     titled = '<h1 class="documentTitle"> The <b>title</b> </h1><div class="SS_HK"><p class="SS_DraftingNote">draft</p><p>x&nbsp;&#8212;&#x2014;&bogus;</p></div>'
-    nested = '<div class="SS_HK"><a id="U.1"></a><p>one</p><div><h2>Of two</h2><div><a id="U.2"></a><p>two</p></div></div><p>tail</p></div>'
+    nested = '<div class="SS_HK"><a id="U.1"></a><p>one</p><div><h2>Of two</h2><div><a id="U.2"></a><p>two</p></div></div><ul><li><a id="U.3"></a>three<ul><li>inner</li></ul></li><li><a id="U.4"></a>four</li></ul><p>tail</p></div>'
     docs = spark.createDataFrame([("s", SHARED), ("a", ANNOTATED), ("t", titled), ("n", nested), ("b", "<p>bare</p>")], "doc string, html string")
-    work = spark.createDataFrame([(d, f"{d}/{a}", h, a, b) for d, a, h, b in [*asked, ("n", "U.1", None, False), ("n", "U.2", None, False)]], WORK)
+    work = spark.createDataFrame([(d, f"{d}/{a}", h, a, b) for d, a, h, b in [*asked, ("n", "U.1", None, False), ("n", "U.2", None, False), ("n", "U.3", None, False), ("n", "U.4", None, False)]], WORK)
     return {r["section_key"]: r for r in pages.parse(work, docs).collect()}
 
 
@@ -193,6 +193,7 @@ def test_annotations_are_units(parsed):
 
 def test_a_unit_ends_before_the_element_that_holds_the_next(parsed):
     assert parsed["n/U.1"]["body_markdown"] == "one" and parsed["n/U.2"]["body_markdown"] == "two"
+    assert parsed["n/U.3"]["body_markdown"] == "* three\n+ inner" and parsed["n/U.4"]["body_markdown"] == "* four"
 
 
 def test_definition_keeps_its_body_unless_strict(spark, parsed):
