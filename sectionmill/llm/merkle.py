@@ -137,14 +137,16 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pa
     rows = docs.select(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
     narrow = rows.groupBy("k1", "k2").agg(F.first("nameless").alias("nameless"), F.min("id").alias("id"), F.first(F.length("text")).alias("size"))
     order = materialise(neighbours(narrow), "neighbours")
-    units = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("text").alias("text"), F.min("id").alias("id"))
+    # Both joins need the same columns by the same keys, so the texts are shuffled once for the two.
+    texts = rows.select("k1", "k2", "id", "text")
+    number = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
     head = F.left(F.col("text"), F.floor(F.col("owner_size") / parts).cast("int"))
-    sent = units.join(order, ["k1", "k2"]).select(F.col("owner1").alias("k1"), F.col("owner2").alias("k2"), head.alias("head"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    sent = texts.join(order.hint("merge"), ["k1", "k2"]).withColumn("number", number).where("number = 1")
+    sent = sent.select(F.col("owner1").alias("k1"), F.col("owner2").alias("k2"), head.alias("head"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    met = texts.join(sent.hint("merge"), ["k1", "k2"]).withColumn("last", number == 1)
     cut = F.floor(F.length("text") / parts).cast("int")
-    after = F.struct("head", "next_fingerprint")
-    own = F.struct(F.left(F.col("text"), cut).alias("head"), F.lit(None).cast("string").alias("next_fingerprint"))
-    met = units.join(sent, ["k1", "k2"]).withColumn("after", F.explode(F.when(F.col("n") == 1, F.array(after)).otherwise(F.concat(F.array(after), F.array_repeat(own, (F.col("n") - 1).cast("int"))))))
-    return met.select(F.col("id").alias(id_col), "text", F.concat(F.left(F.col("text"), F.length("text") - cut), F.col("after.head")).alias("edited"), F.col("after.next_fingerprint").alias("next_fingerprint"))
+    tail = F.when(F.col("last"), F.col("head")).otherwise(F.left(F.col("text"), cut))
+    return met.select(F.col("id").alias(id_col), "text", F.concat(F.left(F.col("text"), F.length("text") - cut), tail).alias("edited"), F.when(F.col("last"), F.col("next_fingerprint")).alias("next_fingerprint"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
