@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .scratch import RUN, bound_batches, kind, materialise, run_starts, valid
 
 CAPACITY, END_ID = 1024, 2
-#: Characters of the words whose ids a task remembers.
-_REMEMBERED = 16_000_000
+#: Characters of the words whose ids a process remembers (about 100 MB): the words of late, and those before.
+_REMEMBERED = 5_000_000
 #: Words that are encoded in one text.
 _TOGETHER = 200
 _encoders: dict[str, "Encoder"] = {}
@@ -75,42 +75,49 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.by_words = _by_words(path)
         self.line_end = self.library.encode("\n", add_special_tokens=False).ids
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, bytes] = {"\n": np.array(self.line_end, "<u4").tobytes()}
-        self.odd: set[str] = set()
+        self.late: dict[str, bytes | None] = {}
+        self.early: dict[str, bytes | None] = {}
         self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        """Encode words that aren't known yet, many in one line-separated text."""
-        self.held += sum(map(len, words))
-        odd = {w for w in words if not (_visible(w[w[0] == " "]) and _visible(w[-1]))}
-        self.odd |= odd
-        self.known.update(dict.fromkeys(odd, b""))
-        fresh = list(words - odd)
+        """Encode words that aren't known yet, many in one line-separated text. A word that starts or ends
+        with other white space, or what may be such, has no ids of its own."""
+        odd = {w for w in words if w != "\n" and not (_visible(w[w[0] == " "]) and _visible(w[-1]))}
+        self.late.update(dict.fromkeys(odd))
+        fresh = list(words - odd - {"\n"})
         for i, raw in enumerate(self.whole(["\n".join(fresh[i : i + _TOGETHER]) for i in range(0, len(fresh), _TOGETHER)])):
             some = fresh[i * _TOGETHER : (i + 1) * _TOGETHER]
             ends = (np.flatnonzero(np.frombuffer(raw, "<u4") == self.line_end[0]) * 4).tolist()
             if len(self.line_end) == 1 and len(ends) == len(some) - 1:
-                self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *(e + 4 for e in ends)], [*ends, len(raw)])), strict=True))
+                self.late.update(zip(some, map(raw.__getitem__, map(slice, [0, *(e + 4 for e in ends)], [*ends, len(raw)])), strict=True))
             else:
-                self.known.update(zip(some, self.whole(some), strict=True))
+                self.late.update(zip(some, self.whole(some), strict=True))
+
+    def joined(self, text: str, words: list[str] | None) -> bytes:
+        if words is not None:
+            try:
+                return b"".join(map(self.late.__getitem__, words))
+            except TypeError:  # one of them has no ids of its own
+                pass
+        return self.whole([text])[0]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self.whole(texts)
-        if self.held > _REMEMBERED:
-            self.forget()
+        if self.held > _REMEMBERED // 2:  # words that come up again move over, all others are forgotten the next time
+            self.early, self.late, self.held = self.late, {}, 0
         cut = [None if t.endswith(" ") or any(x in t for x in _OTHER_BLANKS) else _WORDS(t) for t in texts]
-        unknown = set().union(*(words for words in cut if words)) - self.known.keys()
-        if unknown:
-            self.learn(unknown)
-        get, odd = self.known.__getitem__, self.odd
-        return [self.whole([text])[0] if words is None or not odd.isdisjoint(words) else b"".join(map(get, words)) for text, words in zip(texts, cut, strict=True)]
+        missing = set().union(*(words for words in cut if words)) - self.late.keys()
+        if missing:
+            self.held += sum(map(len, missing))
+            again = missing & self.early.keys()
+            self.late.update(zip(again, map(self.early.__getitem__, again), strict=True))
+            self.learn(missing - again)
+            self.late["\n"] = np.array(self.line_end, "<u4").tobytes()
+        return [self.joined(text, words) for text, words in zip(texts, cut, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
