@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, langid, licences, line_spread, media, merkle, mixing, packing, pii, url_reputation
+from . import dartminhash, decontamination, langid, licences, line_spread, media, merkle, mixing, packing, pii, prefix_trie, spelling, url_reputation
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,19 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", langid.in_fold().alias("held_out"), "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_dartminhash": op1_dartminhash,
@@ -75,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_media": op9_media,
         "op10_langid": op10_langid,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_decontamination": op12_decontamination,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -85,4 +101,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.oracle_sql(),
         "op5_licences": licences.ORACLE,
         "op7_merkle": merkle.ORACLE,
+        "op11_prefix_trie": prefix_trie.ORACLE,
+        "op12_decontamination": decontamination.ORACLE,
+        "op13_spelling": spelling.ORACLE,
     }
