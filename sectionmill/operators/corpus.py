@@ -1,4 +1,8 @@
-"""Records to a corpus: JSON lines and Markdown per title, in reading order."""
+"""Records to a corpus: JSON lines and Markdown per title, in reading order.
+
+Reading order is made of narrow rows (keys, sizes, paths), sorted by ranges; what a range needs to know of those before it is a
+row of a small table. So a title may lie on any number of tasks. Bodies meet their place by a hash of their content.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..workspace import written
 from .records import unique_footnotes
 
 GROUP = ["pub", "tit"]
+SLUGS = ["pub_slug", "title_slug"]
+#: Bytes of a part: a larger title is written in several parts, and a task writes less than two.
+PART_BYTES = 128 << 20
+_KEY = ["k1", "k2"]
 
 
 def grouped(records: DataFrame) -> DataFrame:
@@ -30,13 +39,56 @@ def json_lines(records: DataFrame) -> DataFrame:
     return grouped(records).select("pub_slug", "title_slug", *GROUP, "nodeid", "seq", line.alias("value"))
 
 
-def write_titles(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A folder per publication and title, one file each; the slugs lead the sort so that it lasts."""
-    keys = ["pub_slug", "title_slug"]
-    (
-        lines.repartition(*keys).sortWithinPartitions(*keys, *GROUP, F.col("seq").isNotNull(), F.col("nodeid").asc_nulls_first(), "seq")
-        .select(*keys, "value").write.mode(mode).partitionBy(*keys).text(path)
-    )
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with two hashes of all their columns."""
+    flags = [F.col(c).isNull() for c in rows.columns]
+    return rows.withColumns({"k1": F.xxhash64(*rows.columns, *flags), "k2": F.xxhash64(F.lit(7), *flags, *reversed(rows.columns))})
+
+
+def _in_order(narrow: DataFrame) -> DataFrame:
+    """Rows, one for each key, in reading order: ``range`` and, within it and beyond, ``at``. A title's own lines (``seq`` null) come first."""
+    order = [*SLUGS, *GROUP, F.col("seq").isNotNull(), F.col("nodeid").asc_nulls_first(), "seq", *_KEY]
+    ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    return written(ordered, "order").withColumn("range", F.shiftright("at", 33))
+
+
+def _before(ranges: DataFrame, **columns: tuple[str, bool]) -> DataFrame:
+    """A row per range with what the ranges before it hold: the last value of a column, or its sum."""
+    order = Window.partitionBy(F.lit(0)).orderBy("range")  # a row per range
+    summed = order.rowsBetween(Window.unboundedPreceding, -1)
+    return written(ranges.select("range", *[(F.coalesce(F.sum(c).over(summed), F.lit(0)) if add else F.lag(c).over(order)).alias(name) for name, (c, add) in columns.items()]), "ranges")
+
+
+def placed(lines: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Narrow rows (k1, k2, slugs, at, n, bytes, part) of keyed ``lines``: the corpus in reading order is cut into parts of ``part_bytes``. A title that is no
+    larger is in one part, that in which it begins; equal lines are in one part."""
+    narrow = lines.groupBy(*_KEY).agg(*[F.first(c).alias(c) for c in (*SLUGS, *GROUP, "nodeid", "seq")], F.count("*").alias("n"), F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"))
+    ordered = _in_order(narrow)
+    base = _before(ordered.groupBy("range").agg(F.sum("bytes").alias("b")), base=("b", True))
+    running = Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ordered.join(base, "range").withColumn("from", F.col("base") + F.coalesce(F.sum("bytes").over(running), F.lit(0)))
+    rows = written(rows.select(*_KEY, *SLUGS, "range", "at", "n", "bytes", "from"), "places")
+    of_title = Window.partitionBy(*SLUGS)  # a row for each range that holds the title
+    spans = rows.groupBy(*SLUGS, "range").agg(F.min("from").alias("start"), F.sum("bytes").alias("size"))
+    spans = spans.select(*SLUGS, "range", F.min("start").over(of_title).alias("start"), F.sum("size").over(of_title).alias("size"))
+    part = F.floor(F.when(F.col("size") <= part_bytes, F.col("start")).otherwise(F.col("from")) / part_bytes).cast("int")
+    return rows.join(spans, [*SLUGS, "range"]).select(*_KEY, *SLUGS, "at", "n", "bytes", part.alias("part"))
+
+
+def write_titles(lines: DataFrame, path: str, mode: str = "overwrite", *, part_bytes: int = PART_BYTES) -> None:
+    """A folder per publication and title with its lines in reading order: one file, or for a large title
+    one for each part, in the order of their names. ``_parts`` tells the parts of each title, with their records and bytes.
+
+    A part is written by one task. ``mode`` is that of the writer; titles that aren't among ``lines`` stay with the mode ``titles``.
+    """
+    keyed = _keyed(lines.select(*SLUGS, *GROUP, "nodeid", "seq", "value"))
+    places = written(placed(keyed, part_bytes), "parts")
+    parts = (places.agg(F.max("part")).first()[0] or 0) + 1
+    rows = keyed.select(*_KEY, *SLUGS, "value").join(places.select(*_KEY, "at", "part"), _KEY).repartitionById(parts, "part").sortWithinPartitions(*SLUGS, "at")
+    files = lambda df, partial: (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if partial else df.write.mode(mode)).partitionBy(*SLUGS)
+    files(rows.select(*SLUGS, "value"), mode == "titles").text(path)
+    told = places.groupBy(*SLUGS, "part").agg(F.sum("n").alias("records"), F.sum("bytes").alias("bytes"))
+    files(told.repartition(*SLUGS), True).parquet(f"{path}/_parts")
 
 
 def compile_jsonl(records: DataFrame, path: str) -> DataFrame:
@@ -68,16 +120,28 @@ def promoted_headings(records: DataFrame) -> DataFrame:
     })
 
 
+def _paths(rows: DataFrame) -> DataFrame:
+    """Keyed records with promoted headings give (k1, k2, at, path, previous): the path of headings of each record, and that of the one before it in its title."""
+    path = F.concat(F.filter(F.coalesce("hierarchy", F.array().cast("array<string>")), lambda x: X.filled(x)), F.array("head"))
+    narrow = rows.select(*_KEY, *SLUGS, *GROUP, "nodeid", "seq", path.alias("path")).dropDuplicates(_KEY)
+    ordered = _in_order(narrow).withColumn("here", F.struct(*GROUP, "path"))
+    last = _before(ordered.groupBy("range").agg(F.max_by("here", "at").alias("last")), before=("last", False))
+    previous = F.lag("here").over(Window.partitionBy("range").orderBy("at"))
+    met = ordered.join(last, "range").withColumn("p", F.coalesce(previous, F.col("before")))
+    same = (F.col("p.pub") == F.col("pub")) & (F.col("p.tit") == F.col("tit"))
+    return met.select(*_KEY, "at", "path", F.when(same, F.col("p.path")).otherwise(F.array().cast("array<string>")).alias("previous"))
+
+
 def emitted_headings(records: DataFrame) -> DataFrame:
     """Grouped records with ``headings``: those Markdown headings that differ, depth by depth, from
-    the previous record's path."""
-    rows = promoted_headings(grouped(records))
-    path = F.concat(F.filter(F.coalesce("hierarchy", F.array().cast("array<string>")), lambda x: X.filled(x)), F.array("head"))
-    order = Window.partitionBy(*GROUP).orderBy(F.col("nodeid").asc_nulls_first(), "seq")
-    rows = rows.withColumn("path", path).withColumn("previous", F.coalesce(F.lag("path").over(order), F.array().cast("array<string>")))
+    the previous record's path. Of equal records the first alone has any."""
+    keyed = _keyed(grouped(records))
+    rows = promoted_headings(keyed).join(_paths(promoted_headings(keyed)), _KEY)
     marked = F.transform("path", lambda label, i: F.struct(i.alias("depth"), label.alias("label"), F.coalesce(F.get(F.col("previous"), i) != label, F.lit(True)).alias("new")))
     line = lambda s: F.concat(F.repeat(F.lit("#"), F.least(s["depth"] + 2, F.lit(6)).cast("int")), F.lit(" "), s["label"])
-    return rows.withColumn("headings", F.transform(F.filter(marked, lambda s: s["new"]), line)).drop("path", "previous")
+    first = F.row_number().over(Window.partitionBy(*_KEY).orderBy("at")) == 1
+    headings = F.when(first, F.transform(F.filter(marked, lambda s: s["new"]), line)).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("headings", headings).drop("path", "previous", *_KEY)
 
 
 def title_facts(records: DataFrame) -> DataFrame:
@@ -97,10 +161,11 @@ def markdown_blocks(records: DataFrame) -> DataFrame:
     rows = emitted_headings(records)
     notes = X.footnote_lines(unique_footnotes(F.col("footnotes")))
     block = F.array_join(F.concat(F.col("headings"), F.filter(F.array("rest", notes), lambda x: X.filled(x))), "\n\n")
-    order = [F.col("nodeid").asc_nulls_first(), F.col("seq")]
-    rows = rows.select("pub_slug", "title_slug", *GROUP, "nodeid", "seq", block.alias("block")).where("block <> ''")
-    last = F.lead("seq").over(Window.partitionBy(*GROUP).orderBy(*order)).isNull()
-    bodies = rows.withColumn("value", F.concat(F.lit("\n"), F.when(last, F.regexp_replace("block", rf"(?U){X.WS}+\z", "")).otherwise(F.col("block")))).drop("block")
+    rows = rows.select(*SLUGS, *GROUP, "nodeid", "seq", "at", block.alias("block")).where("block <> ''")
+    # Of a title's records the last loses the blanks at its end.
+    ends = rows.groupBy("pub", "tit").agg(F.max("at").alias("at")).select(F.col("at").alias("last_at"))
+    rows = rows.join(ends, F.col("at") == F.col("last_at"), "left")
+    bodies = rows.withColumn("value", F.concat(F.lit("\n"), F.when(F.col("last_at").isNotNull(), F.regexp_replace("block", rf"(?U){X.WS}+\z", "")).otherwise(F.col("block")))).drop("block", "at", "last_at")
     title = F.concat(F.lit("# "), F.col("tit"), F.when(F.col("volume").isNotNull(), F.concat(F.lit(" — "), F.col("volume"))).otherwise(""))
     facts = F.filter(F.array("pub", "jurisdiction", F.concat(F.col("n").cast("string"), F.lit(" sections")), F.concat(F.lit("retrieved "), F.left(F.coalesce("retrieved_at", F.lit("")), F.lit(10)))), lambda x: X.filled(x))
     head = F.concat(title, F.lit("\n\n*"), F.array_join(facts, " · "), F.lit("*"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import MANIFEST, MANIFEST_EVENTS
+from ..store import BUCKETS, Store, bucket
 
 META = ["nodeid", "title", "number", "heading", "source_url"]
 COLUMNS = [c.split()[0] for c in MANIFEST.split(", ")]
@@ -147,20 +148,36 @@ def migrate(old: DataFrame) -> DataFrame:
     )
 
 
-def write_snapshot(manifest: DataFrame, folder: str, version: int) -> str:
-    """Write a new version beside the old ones; readers switch to it by name."""
-    path = f"{folder}/v{version:010d}"
-    manifest.write.mode("errorifexists").parquet(path)
-    return path
+def _of(urn: Column) -> Column:
+    """The bucket of a key or urn: that of its document, so that a bare urn is in the bucket of the keys that supersede it."""
+    return bucket(F.substring_index(urn, "#", 1))
+
+
+def write_snapshot(manifest: DataFrame, folder: str) -> int:
+    """Write a whole manifest as the newest version; its number. Raises :class:`~sectionmill.store.ConflictError` if another writer made that version meanwhile."""
+    store = Store(manifest.sparkSession, folder)
+    base = store.version()
+    touched = [int(k.partition("/")[2]) for k in base.folders] + list(range(BUCKETS))
+    return store.commit(base, store.stage(manifest.select(*COLUMNS), "manifest", _of(F.col("section_key")), sorted(set(touched)))).number
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version that was written to its end; an empty manifest if there is none."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    whole = [p.getPath().toString() for p in files.listStatus(at) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p.getPath(), "_SUCCESS"))] if files.exists(at) else []
-    newest = max((p for p in whole if p.rsplit("/", 1)[-1].startswith("v")), default=None)
-    return spark.createDataFrame([], MANIFEST) if newest is None else spark.read.schema(MANIFEST).parquet(newest)
+    """The newest version that was committed; an empty manifest if there is none."""
+    store = Store(spark, folder)
+    return store.read(store.version(), "manifest", MANIFEST)
+
+
+def upsert_snapshot(events: DataFrame, folder: str) -> list[int]:
+    """Fold events into the newest version and commit the next: only buckets of documents that the events name are read
+    and written; these are returned. ``seq`` of the events is at least 0. Raises as :func:`write_snapshot` does, and leaves the version as it was."""
+    store = Store(events.sparkSession, folder)
+    base = store.version()
+    named = events.select(_of(F.col("section_key")).alias("a"), _of(event_urn()).alias("b"))
+    touched = sorted(r["b"] for r in named.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("b")).distinct().collect())  # BUCKETS at most
+    if touched:
+        rows = upsert(store.read(base, "manifest", MANIFEST, touched), events)
+        store.commit(base, store.stage(rows.select(*COLUMNS), "manifest", _of(F.col("section_key")), touched))
+    return touched
 
 
 def pending(manifest: DataFrame, title: str | None = None) -> DataFrame:

@@ -217,8 +217,12 @@ def set2_manifest_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @register("set3_upsert_snapshot", _MAN_SQL)
 def set3_upsert_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    e = _manifest_events(spark, d)
-    return manifest.upsert(manifest.fold(e.where("seq < 3000")), e.where("seq >= 3000")).select(_MAN)
+    """Most events as a first version, the others in two updates of the buckets that they touch."""
+    e, folder = _manifest_events(spark, d), new_folder(spark, "manifest")
+    manifest.write_snapshot(manifest.fold(e.where("seq < 3000")), folder)
+    manifest.upsert_snapshot(e.where("seq >= 3000 and seq < 4000"), folder)
+    manifest.upsert_snapshot(e.where("seq >= 4000"), folder)
+    return manifest.read_snapshot(spark, folder).select(_MAN)
 
 
 @register("src7_done_records", with_manifest("SELECT section_key, record->>'$.id' AS id, CAST(record->>'$.word_count' AS INTEGER) AS word_count FROM man WHERE status = 'done' AND record IS NOT NULL AND record <> 'not json'"))
@@ -231,8 +235,8 @@ def snk5_migrate_manifest(spark: SparkSession, d: str) -> DataFrame:
     """A snapshot of the older layout, migrated, written as the newest version and read from there."""
     folder = new_folder(spark, "manifest")
     now = _manifest(spark, d)
-    manifest.write_snapshot(now, folder, 1)
-    manifest.write_snapshot(manifest.migrate(now.drop("section_key", "record", "path")), folder, 2)
+    manifest.write_snapshot(now, folder)
+    manifest.write_snapshot(manifest.migrate(now.drop("section_key", "record", "path")), folder)
     return manifest.read_snapshot(spark, folder).select("section_key", "urn", "heading", "status", "record")
 
 
@@ -753,11 +757,20 @@ def str3_latest_progress(spark: SparkSession, d: str) -> DataFrame:
     return replay.replay_latest_progress(_run_events(spark, d))
 
 
-@register("str4_incremental_compile", with_records(f"SELECT {_slug_sql('pub')} AS pub_slug, {_slug_sql('tit')} AS title_slug, row_number() OVER (PARTITION BY pub, tit ORDER BY nodeid, seq) AS place, 'urn:contentItem:D' || doc_id AS urn FROM rec"))
+def _arrivals(records_: DataFrame) -> DataFrame:
+    """Records of which every third arrives again, later and with another body; some of these have moved to another title."""
+    again = records_.where("seq % 3 = 0").withColumns({
+        "body_markdown": F.concat(F.lit("Again. "), F.coalesce("body_markdown", F.lit(""))), "title": F.when(F.col("seq") % 51 == 0, "Moved works").otherwise(F.col("title")), "seq": F.col("seq") + 1_000_000_000})
+    return records_.unionByName(again)
+
+
+@register("str4_incremental_compile", with_records(f""", nu AS (SELECT doc_id, nodeid, pub, CASE WHEN doc_id % 51 = 0 THEN 'Moved works' ELSE tit END AS tit, CASE WHEN doc_id % 3 = 0 THEN 'Again. ' || coalesce(body, '') ELSE body END AS body FROM rec)
+  SELECT {_slug_sql('pub')} AS pub_slug, {_slug_sql('tit')} AS title_slug, row_number() OVER (PARTITION BY pub, tit ORDER BY nodeid) AS place, 'urn:contentItem:D' || doc_id AS urn, body AS body_markdown FROM nu"""))
 def str4_incremental_compile(spark: SparkSession, d: str) -> DataFrame:
-    """Records arrive in parts; each part rewrites the titles it touches. Lines are read back in file order."""
-    lines = _read_lines(spark, replay.replay_compile(A.records(spark, d)))
-    return lines.select("pub_slug", "title_slug", "place", F.get_json_object("value", "$.contentitem_urn").alias("urn"))
+    """Records arrive in parts, many of them more than once; each part rewrites the titles it touches. Lines are read back in file order."""
+    lines = _read_lines(spark, replay.replay_compile(_arrivals(A.records(spark, d))))
+    j = lambda path: F.get_json_object("value", path)
+    return lines.select("pub_slug", "title_slug", "place", j("$.contentitem_urn").alias("urn"), j("$.body_markdown").alias("body_markdown"))
 
 
 @register("snk3_failures_log", "SELECT 'urn:contentItem:U' || user_id || chr(9) || CASE WHEN user_id % 11 > 0 THEN 'Title ' || (user_id % 11) ELSE '' END || chr(9) || (event_id % 100) || chr(9) || 'ParseError: ' || left(repeat('bad ', 100), 200) AS line FROM events WHERE event_type = 'error'")

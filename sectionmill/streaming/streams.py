@@ -15,6 +15,8 @@ from ..functions import text as X
 from ..operators.corpus import grouped, json_lines, write_titles
 from ..operators.manifest import COLUMNS, EVENT_COLUMNS, _records, event_urn, fold_rows
 from ..schemas import MANIFEST
+from ..store import Store, bucket
+from ..workspace import written
 
 _STATE = f"rows array<struct<{', '.join(f'{c.split()[0]}:{c.split()[1]}' for c in MANIFEST.split(', '))}>>"
 
@@ -53,34 +55,55 @@ def latest_progress(events: DataFrame) -> DataFrame:
     return events.where("kind = 'section'").groupBy("title").agg(newest.alias("x")).select("title", "x.*")
 
 
-#: Folders over which the kept records are dealt by their title, so that a batch reads those of its titles alone.
-SHARDS = 1024
+#: What tells one section from another.
+SECTION = ("contentitem_urn", "nodeid")
+_SLUGS = ["pub_slug", "title_slug"]
+_INDEX = "k1 long, k2 long, seq long, pub_slug string, title_slug string"
 
 
-def _shard() -> Column:
-    return F.pmod(F.xxhash64("pub_slug", "title_slug"), F.lit(SHARDS)).cast("int").alias("shard")
+def _newest(batch: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """The batch's newest row of each section, with its title's slugs and two hashes of the section's key."""
+    rows = grouped(batch)
+    flags = [F.col(c).isNull() for c in key]
+    rows = rows.withColumns({"k1": F.xxhash64(*key, *flags), "k2": F.xxhash64(F.lit(7), *flags, *reversed(key))})
+    latest_ = F.max_by(F.struct(*rows.columns), F.struct("seq", F.xxhash64(F.to_json(F.struct(*batch.columns)))))
+    return rows.groupBy("k1", "k2").agg(latest_.alias("r")).select("r.*")
 
 
-def incremental_compile(records: DataFrame, all_records: str, path: str, checkpoint: str) -> StreamingQuery:
+def _buckets(rows: DataFrame, at: Column) -> list[int]:
+    return sorted(r["b"] for r in rows.select(at.alias("b")).distinct().collect())  # store.BUCKETS at most
+
+
+def incremental_compile(records: DataFrame, all_records: str, path: str, checkpoint: str, *, key: tuple[str, ...] = SECTION) -> StreamingQuery:
     """Write the titles that each batch of a stream of finished records touches, and no others.
 
-    ``all_records`` is the table that keeps every record; a batch is appended to it first. A batch
-    that runs again is recognised by its number. Folders are replaced title by title.
+    A section that arrives again is one line: its newest row by ``seq`` counts (of equal ones the last to arrive), and one that has moved
+    to another title leaves the old one. ``all_records`` is the folder of a :class:`~sectionmill.store.Store` that keeps the newest row of every section, by buckets of
+    titles, and where each section is, by buckets of sections. A batch replaces the buckets that it touches, so neither rows nor files
+    add up with the number of batches. The titles are written first and the commit comes last: a batch that runs again does the same once more.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        keyed = grouped(batch).select(*batch.columns, _shard()).withColumn("batch", F.lit(number))
-        keyed.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "batch").parquet(all_records)
-        touched = grouped(batch).select("pub_slug", "title_slug").distinct()
-        shards = [r["shard"] for r in touched.select(_shard()).distinct().collect()]  # SHARDS rows at most
-        kept = spark.read.parquet(all_records).where(F.col("shard").isin(shards)).drop("shard", "batch")
-        whole = json_lines(kept).join(touched, ["pub_slug", "title_slug"], "left_semi")
-        keep = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            write_titles(whole, path)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", keep)
+        store = Store(spark, all_records)
+        base = store.version()
+        of_section, of_title = bucket(F.col("k1")), bucket(F.col("pub_slug"), F.col("title_slug"))
+        rows = written(_newest(batch, key), "arrivals")
+        section_buckets = _buckets(rows, of_section)
+        known = store.read(base, "sections", _INDEX, section_buckets)
+        before = known.select("k1", "k2", F.col("seq").alias("old_seq"), *[F.col(c).alias(f"old_{c}") for c in _SLUGS])
+        fresh = written(rows.join(before, ["k1", "k2"], "left").where("old_seq is null or seq is null or seq >= old_seq"), "fresh")
+        touched = fresh.select(*_SLUGS).union(fresh.where("old_pub_slug is not null").select("old_pub_slug", "old_title_slug")).distinct()
+        touched = written(touched, "touched")
+        title_buckets = _buckets(touched, of_title)
+        kept = store.read(base, "records", rows.schema, title_buckets).join(fresh.select("k1", "k2"), ["k1", "k2"], "left_anti")
+        now = written(kept.unionByName(fresh.select(*rows.columns)), "records")
+        write_titles(json_lines(now).join(touched, _SLUGS, "left_semi"), path, "titles")
+        for r in touched.join(now.select(*_SLUGS), _SLUGS, "left_anti").toLocalIterator():  # titles that all their sections have left
+            for top in (path, f"{path}/_parts"):
+                store.remove(f"{top}/pub_slug={r['pub_slug']}/title_slug={r['title_slug']}")
+        index = known.join(fresh.select("k1", "k2"), ["k1", "k2"], "left_anti").unionByName(fresh.select("k1", "k2", "seq", *_SLUGS))
+        changes = store.stage(now, "records", of_title, title_buckets) | store.stage(index, "sections", of_section, section_buckets)
+        store.commit(base, changes)
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
