@@ -87,10 +87,10 @@ def postprocess(markdown: Column) -> Column:
     """Tidy rendered Markdown: footnote markers, blanks and blank lines."""
     steps = [
         (r"\{FN-(\d+)\}", "[^$1]"),
+        (rf"(?U){HSPACE}+", " "),  # before all that begins with blanks: of a long run each place would be tried
         (rf"(?U){HSPACE}+(\[\^\d+\])", "$1"),
         (rf"(?U)(\[\^\d+\]){HSPACE}+([,.;:)\]])", "$1$2"),
         (rf"(?U){HSPACE}*\n{HSPACE}*", "\n"),
-        (rf"(?U){HSPACE}+", " "),
         (r"\n{3,}", "\n\n"),
     ]
     for pattern, to in steps:

@@ -640,14 +640,15 @@ def par3_page_text(spark: SparkSession, d: str) -> DataFrame:
 
 def _section_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Sections of customers that share a document: each order an anchored unit of its customer's page."""
-    o = A.table(spark, d, "orders").withColumn("cust", F.col("o_custkey").cast("string"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    o = A.table(spark, d, "orders").repartition(parts, "o_custkey").withColumn("cust", F.col("o_custkey").cast("string"))
     path = lambda c: U.build_viewer_url(F.concat(F.lit("urn:contentItem:C"), c), F.lit("AAB"))
     key = F.col("o_orderkey").cast("string")
     secs = o.select(key.alias("section_key"), path(F.col("cust")).alias("source_url"), F.lit(None).cast("string").alias("heading"), F.concat(F.lit("O."), key, F.when(F.col("o_orderkey") % 20 == 0, "x").otherwise("")).alias("anchor_id"), F.lit(False).alias("body_only"))
     unit = F.concat(F.lit('<a id="O.'), key, F.lit('"></a><br><h2 class="SS_Banner">Order</h2><ul class="SS_List"><li><span class="SS_ListLabel">(1)</span><span>'), F.col("o_orderpriority"), F.lit('</span></li></ul><p>Priced <span class="SS_it">at</span> '), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(".</p>"))
     units = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", unit.alias("u")))), lambda s: s["u"]), "")
     start = F.when(F.col("cust").cast("long") % 17 == 0, F.lit("<div>")).otherwise(F.lit('<div class="SS_contentdocument"><header class="SS_DocumentHeader">Orders</header>'))
-    docs = o.groupBy("cust").agg(units.alias("u")).where("cast(cust as long) % 34 <> 0").select(path(F.col("cust")).alias("url"), F.concat(start, "u", F.lit("</div>")).alias("html"))
+    docs = o.groupBy("o_custkey", "cust").agg(units.alias("u")).where("cast(cust as long) % 34 <> 0").select(path(F.col("cust")).alias("url"), F.concat(start, "u", F.lit("</div>")).alias("html"))
     return secs, docs
 
 
