@@ -4,8 +4,9 @@ A text's sentences are normalised and mapped to identifiers of known licence sen
 sequence of identifiers is matched against ordered rules, each of which names a licence and the
 identifiers that must follow one another, with others between them allowed. A rule whose identifiers are a
 part of a longer rule's, in order, gives way where the longer one matches. Texts are read
-twice: line by line, and with single line ends taken as blanks, since notices are often wrapped. A tag line
-(``SPDX-License-Identifier: ...``) is one sentence with what follows the colon.
+twice: line by line, and with single line ends taken as blanks, since notices are often wrapped. A sentence with a
+holder's name in it is known by what stands around the name. A tag line (``SPDX-License-Identifier: ...``) is an expression: each of its licences
+is an identifier, whatever joins them (``OR``, ``AND``); an exception (``WITH ...``) isn't a licence; older names count as the newer ones.
 """
 
 from __future__ import annotations
@@ -36,6 +37,18 @@ PHRASES = [
 ]
 #: Identifiers that tag lines name besides those of ``NAMES``.
 TAGS = ["0BSD", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "GPL-2.0+", "GPL-3.0+", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-1.1", "EPL-1.0", "BSD-4-Clause", "CC-BY-2.0", "MIT-0", "MS-PL", "MS-RL", "CDDL-1.0", "Apache-1.1", "X11", "LPPL-1.3c", "UPL-1.0", "BlueOak-1.0.0", "MulanPSL-2.0"]
+#: Older identifiers, and those that replaced them.
+OLDER = {
+    "GPL-1.0": "GPL-1.0-only", "GPL-1.0+": "GPL-1.0-or-later", "GPL-2.0": "GPL-2.0-only", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0": "GPL-3.0-only", "GPL-3.0+": "GPL-3.0-or-later",
+    "LGPL-2.0": "LGPL-2.0-only", "LGPL-2.0+": "LGPL-2.0-or-later", "LGPL-2.1": "LGPL-2.1-only", "LGPL-2.1+": "LGPL-2.1-or-later", "LGPL-3.0": "LGPL-3.0-only", "LGPL-3.0+": "LGPL-3.0-or-later",
+    "AGPL-3.0": "AGPL-3.0-only", "AGPL-3.0+": "AGPL-3.0-or-later",
+}
+#: What sentences with a name or address in them hold, in normal form; the part with the name; and what it is taken for.
+NAMED = [
+    ("used to endorse", "^neither the names? of .+? nor the names of (?:its|their|any) contributors may be used to endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
+    ("used to endorse", "^the names? of .+? may not be used to endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
+    (" at http", " at https? .*$", " at"),
+]
 #: Identifier and sentence.
 SENTENCES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -52,6 +65,19 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "zlib-notice": "This notice may not be removed or altered from any source distribution.",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "postgresql-grant": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "epl-2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "epl-2-notice-v": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at",
+    "epl-1-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at",
+    "lgpl-3-text": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "mpl-2-obtain": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "mpl-2-covered": "\"Covered Software\" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code Form, and Modifications of such Source Code Form, in each case including portions thereof.",
+    "gpl-2-of": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
     "cc0": "This work is dedicated to the public domain.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights": "All rights reserved.",
@@ -74,6 +100,17 @@ RULES = [
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-received"]),
     ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
+    ("BSD-4-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant", "zlib-notice"]),
+    ("BSL-1.0", ["bsl-grant"]),
+    ("PostgreSQL", ["postgresql-grant"]),
+    ("EPL-2.0", ["epl-2-notice"]),
+    ("EPL-2.0", ["epl-2-notice-v"]),
+    ("EPL-1.0", ["epl-1-notice"]),
+    ("LGPL-3.0-only", ["lgpl-3-text"]),
+    ("MPL-2.0", ["mpl-2-obtain"]),
+    ("MPL-2.0", ["mpl-2-covered"]),
+    ("GPL-2.0-only", ["gpl-2-of"]),
     ("CC0-1.0", ["cc0"]),
     ("Unlicense", ["unlicense"]),
     ("all-rights-reserved", ["all-rights"]),
@@ -90,8 +127,8 @@ RULES = [
     ("0BSD", ["0bsd-grant"]),
 ]
 _STOP = r"[.!?:;]+(?:[ \t\r\n]+|$)|\n+"
-#: What joins a tag to its identifier before texts are cut.
-_TAG, _JOINED = r"(?i)SPDX-License-Identifier:[ \t]*", "SPDX-License-Identifier "
+#: The expression of a tag line, what parts its licences, and a licence's identifier.
+_TAG, _JOINS, _ID = r"(?i)SPDX-License-Identifier:[ \t]*([^\n]*)", r"(?i)[ \t()]+(?:or|and)[ \t()]+", r"^[ \t(]*([A-Za-z0-9.+-]*[A-Za-z0-9+])"
 
 
 def normal(sentence: str) -> str:
@@ -119,7 +156,7 @@ def cut(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> tuple[
                 made[key] = name if i == 0 else f"{name}-{i + 1}"
                 parts[made[key]] = part
             names.setdefault(name, []).append(made[key])
-    return parts, [(licence, [part for name in wanted for part in names[name]]) for licence, wanted in rules]
+    return parts, [(licence, [part for name in wanted for part in names.get(name, [name])]) for licence, wanted in rules]
 
 
 def tables() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
@@ -129,12 +166,20 @@ def tables() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
         for j, phrase in enumerate(PHRASES):
             sentences[f"said-{i}-{j}"] = phrase.format(name)
             rules.append((licence, [f"said-{i}-{j}"]))
-    for licence in dict.fromkeys([*NAMES.values(), *TAGS]):
-        sentences[f"tag-{licence}"] = _JOINED + licence
-        rules.append((licence, [f"tag-{licence}"]))
+    rules += [(licence, [name]) for name, licence in tag_identifiers().items()]
     return cut(sentences, rules)
 
 
+def tag_identifiers() -> dict[str, str]:
+    """The identifier of each licence that tag lines name, and the licence."""
+    return {f"tag-{licence}": licence for licence in dict.fromkeys([*NAMES.values(), *(OLDER.get(t, t) for t in TAGS), *OLDER.values()])}
+
+
+def _tag_table() -> dict[str, str]:
+    """What tag lines may say, in lower case, to identifiers."""
+    return {licence.lower(): name for name, licence in tag_identifiers().items()} | {old.lower(): f"tag-{new}" for old, new in OLDER.items()}
+
+
 SENTENCES, RULES = tables()
 
 
@@ -159,18 +204,35 @@ def identifiers(text: Column, sentences: dict[str, str]) -> Column:
     text. Stops are taken only where a blank or the end follows.
     """
     known = {normal(s): name for name, s in sentences.items()}
-    said = F.transform(F.split(F.regexp_replace(text, _TAG, _JOINED), _STOP), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+
+    def form(sentence: Column) -> Column:
+        plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+        for holds, pattern, to in NAMED:
+            plain = F.when(F.contains(plain, F.lit(holds)), F.regexp_replace(plain, pattern, to)).otherwise(plain)
+        return plain
+
+    said = F.transform(F.split(text, _STOP), form)
     found = F.filter(said, lambda s: s.isin(*known))
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return F.transform(found, lambda s: F.element_at(table, s))
 
 
+def tags(text: Column) -> Column:
+    """The identifiers of the licences that a text's tag lines name, in order."""
+    known = _tag_table()
+    parts = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_TAG), F.lit(1)), lambda e: F.split(e, _JOINS)))
+    said = F.transform(parts, lambda x: F.lower(F.regexp_extract(x, _ID, 1)))
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    found = F.transform(F.filter(said, lambda x: x.isin(*known)), lambda x: F.element_at(table, x))
+    return F.when(F.contains(F.lower(text), F.lit("spdx-license-identifier")), found).otherwise(F.array().cast("array<string>"))
+
+
 def _follows(sequence: Column, names: list[str]) -> Column:
     return sequence.rlike(r"\|" + r"\|(?:.*\|)?".join(names) + r"\|")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
-    """(id, sentence_ids, licences) for every row: two strings, comma-joined, empty if none.
+    """(id, sentence_ids, licences) for every row: two strings, comma-joined, empty if none. Identifiers of tag lines come after those of sentences.
 
     ``licences`` are in the order of the rules, each once. A null or empty text has none; repeated rows and
     null ids, of any type, are scanned like others, very long texts whole. An empty table gives no rows. Columns other than the two named aren't read.
@@ -180,7 +242,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sen
     text = F.coalesce(F.col(text_col), F.lit(""))
     seen = docs.select(
         F.col(id_col).alias("id"), identifiers(text, sentences).alias("by_line"),
-        identifiers(F.regexp_replace(text, r"([^\n])\n([^\n])", "$1 $2"), sentences).alias("unwrapped"),
+        identifiers(F.regexp_replace(text, r"([^\n])\n([^\n])", "$1 $2"), sentences).alias("unwrapped"), tags(text).alias("tags"),
     )
     joined = lambda c: F.concat(F.lit("|"), F.array_join(c, "|"), F.lit("|"))
     hits = [_follows(joined("by_line"), names) | _follows(joined("unwrapped"), names) for _, names, _ in many]
@@ -191,12 +253,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sen
             won &= ~hits[j]
         wins.append(F.when(won, F.lit(n)))
     table = F.create_map(*[F.lit(x) for pair in one.items() for x in pair])
-    single = F.transform(F.filter(F.concat("by_line", "unwrapped"), lambda x: x.isin(*one)), lambda x: F.element_at(table, x))
+    single = F.transform(F.filter(F.concat("by_line", "unwrapped", "tags"), lambda x: x.isin(*one)), lambda x: F.element_at(table, x))
     names = F.array(*[F.lit(x) for x in dict.fromkeys(licence for licence, _ in rules)])
     numbers = F.array_sort(F.array_distinct(F.concat(single, F.array_compact(F.array(*wins)))))
     # Most texts have no known sentence, and no rule is tried on them.
-    licences = F.when(F.size("by_line") + F.size("unwrapped") == 0, "").otherwise(F.array_join(F.transform(numbers, lambda n: F.get(names, n)), ","))
-    ids = F.when(F.size("unwrapped") > F.size("by_line"), F.col("unwrapped")).otherwise(F.col("by_line"))
+    licences = F.when(F.size("by_line") + F.size("unwrapped") + F.size("tags") == 0, "").otherwise(F.array_join(F.transform(numbers, lambda n: F.get(names, n)), ","))
+    ids = F.concat(F.when(F.size("unwrapped") > F.size("by_line"), F.col("unwrapped")).otherwise(F.col("by_line")), F.col("tags"))
     return seen.select(F.col("id").alias(id_col), F.array_join(ids, ",").alias("sentence_ids"), licences.alias("licences"))
 
 
@@ -205,20 +267,23 @@ def _oracle() -> str:
     one, many = split_rules(RULES)
     made = lambda pairs: "MAP {" + ", ".join(f"'{k}': {v}" for k, v in pairs) + "}"
     stop = _STOP.replace(r"\n", "' || chr(10) || '").replace(r"\t", "' || chr(9) || '").replace(r"\r", "' || chr(13) || '")
-    tag = _TAG.replace(r"\t", "' || chr(9) || '")
-    pieces = lambda t: f"regexp_split_to_array(regexp_replace({t}, '{tag}', '{_JOINED}', 'g'), '{stop}')"
-    ids = lambda t: f"list_filter(list_transform({pieces(t)}, lambda s: m[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL)"
+    form = "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))"
+    for _, pattern, to in NAMED:
+        form = f"regexp_replace({form}, '{pattern}', '{to}')"
+    ids = lambda t: f"list_filter(list_transform(regexp_split_to_array({t}, '{stop}'), lambda s: m[{form}]), lambda x: x IS NOT NULL)"
+    says = f"flatten(list_transform(regexp_extract_all(text, '{_TAG}', 1), lambda e: regexp_split_to_array(e, '{_JOINS}')))"
+    tags_ = f"list_filter(list_transform({says}, lambda x: g[lower(regexp_extract(x, '{_ID}', 1))]), lambda x: x IS NOT NULL)"
     follows = lambda names: "(" + " OR ".join(f"regexp_matches('|' || coalesce(array_to_string({c}, '|'), '') || '|', '\\|" + r"\|(?:.*\|)?".join(names) + r"\|')" for c in ("a", "b")) + ")"
     hits = ", ".join(f"{follows(names)} AS h{i}" for i, (_, names, _) in enumerate(many))
     wins = ", ".join("CASE WHEN " + " AND ".join([f"h{i}", *(f"NOT h{j}" for j in longer)]) + f" THEN {n} END" for i, (n, _, longer) in enumerate(many))
     licences = ", ".join(f"'{x}'" for x in dict.fromkeys(licence for licence, _ in RULES))
     return f"""
-WITH known_ AS MATERIALIZED (SELECT {made((k, f"'{v}'") for k, v in known.items())} AS m, {made(one.items())} AS o),
-t AS (SELECT doc_id, coalesce(text, '') AS text, m, o FROM documents, known_),
-s AS (SELECT doc_id, o, {ids("text")} AS a, {ids("regexp_replace(text, '([^' || chr(10) || '])' || chr(10) || '([^' || chr(10) || '])', '\1 \2', 'g')")} AS b FROM t),
+WITH known_ AS MATERIALIZED (SELECT {made((k, f"'{v}'") for k, v in known.items())} AS m, {made(one.items())} AS o, {made((k, f"'{v}'") for k, v in _tag_table().items())} AS g),
+t AS (SELECT doc_id, coalesce(text, '') AS text, m, o, g FROM documents, known_),
+s AS (SELECT doc_id, o, {tags_} AS t, {ids("text")} AS a, {ids("regexp_replace(text, '([^' || chr(10) || '])' || chr(10) || '([^' || chr(10) || '])', '\1 \2', 'g')")} AS b FROM t),
 h AS (SELECT *, {hits} FROM s),
-n AS (SELECT *, list_sort(list_distinct(list_filter(list_concat(list_transform(list_concat(a, b), lambda x: o[x]), [{wins}]), lambda x: x IS NOT NULL))) AS numbers FROM h)
-SELECT doc_id, coalesce(array_to_string(CASE WHEN len(b) > len(a) THEN b ELSE a END, ','), '') AS sentence_ids,
+n AS (SELECT *, list_sort(list_distinct(list_filter(list_concat(list_transform(list_concat(list_concat(a, b), t), lambda x: o[x]), [{wins}]), lambda x: x IS NOT NULL))) AS numbers FROM h)
+SELECT doc_id, coalesce(array_to_string(list_concat(CASE WHEN len(b) > len(a) THEN b ELSE a END, t), ','), '') AS sentence_ids,
   coalesce(array_to_string(list_transform(numbers, lambda i: ([{licences}])[i + 1]), ','), '') AS licences FROM n
 """
 

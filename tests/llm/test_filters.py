@@ -140,7 +140,8 @@ def test_every_sentence_and_rule_is_found(spark):
     s, rules = licences.SENTENCES, licences.RULES
     got = scan(spark, *[t if t[-1] in ".:;" else t + "." for t in s.values()])
     assert [got[i]["sentence_ids"] for i in range(len(s))] == list(s)
-    got = scan(spark, *["\n".join(s[name] for name in names) for _, names in rules])
+    text = lambda name: s[name] if name in s else f"SPDX-License-Identifier: {name.removeprefix('tag-')}"
+    got = scan(spark, *["\n".join(map(text, names)) for _, names in rules])
     assert all(licence in got[i]["licences"].split(",") for i, (licence, _) in enumerate(rules))
 
 
@@ -167,6 +168,88 @@ along with this {0}. If not, see <https://www.gnu.org/licenses/>."""
     assert [got[i]["licences"] for i in range(7)] == ["GPL-3.0-or-later"] * 2 + ["GPL-2.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", ""]
 
 
+def test_tag_expressions(spark):
+    """What tag lines name, written out here and not taken from the operator's tables."""
+    cases = {
+        "GPL-2.0": "GPL-2.0-only", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1+": "LGPL-2.1-or-later", "GPL-2.0-or-later": "GPL-2.0-or-later", "MIT OR Apache-2.0": "Apache-2.0,MIT",
+        "(mit and BSD-3-Clause)": "BSD-3-Clause,MIT", "GPL-2.0-only WITH Linux-syscall-note": "GPL-2.0-only", "(GPL-2.0+ WITH Classpath-exception-2.0) OR MIT */": "GPL-2.0-or-later,MIT", "BSD-4-Clause -->": "BSD-4-Clause", "MITX": "", "NOASSERTION": "", "": "",
+    }
+    got = scan(spark, *[f"// SPDX-License-Identifier: {x}\nint x;" for x in cases])
+    assert [",".join(sorted(filter(None, got[i]["licences"].split(",")))) for i in range(len(cases))] == list(cases.values())
+
+
+#: Whole texts of licences, as their authors wrap them.
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+"""
+ADVERTISING = """3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+     This product includes software developed by the Example Institute.
+"""
+ENDORSE = """4. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+"""
+POSTGRESQL = """Permission to use, copy, modify, and distribute this software and its
+documentation for any purpose, without fee, and without a written agreement
+is hereby granted, provided that the above copyright notice and this
+paragraph and the following two paragraphs appear in all copies.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+EPL = "This program and the accompanying materials are made available under the terms of the\nEclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+LGPL = "This version of the GNU Lesser General Public License incorporates\nthe terms and conditions of version 3 of the GNU General Public\nLicense, supplemented by the additional permissions listed below."
+GPL2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; version 2 of the License."
+
+
+def test_whole_licences_and_near_misses(spark):
+    cases = [
+        (BSD, "BSD-2-Clause"), (BSD + ENDORSE, "BSD-3-Clause"), (BSD + ADVERTISING + ENDORSE, "BSD-4-Clause"), (BSD + "The name of the author may not be used to endorse or promote products\nderived from this software without specific prior written permission.", "BSD-3-Clause"),
+        (BSD + ADVERTISING, "BSD-2-Clause"), (ENDORSE, ""), (BSD.replace("binary form must", "binary form should"), ""), (ZLIB, "Zlib"), (ZLIB.replace("3. This notice may not be removed", "3. This notice may be removed"), ""), (BOOST, "BSL-1.0"),
+        (BOOST.replace("or organization", ""), ""), (POSTGRESQL, "PostgreSQL"), (POSTGRESQL.replace("two paragraphs", "paragraph"), ""), (MPL, "MPL-2.0"), (EPL, "EPL-2.0"), (EPL.replace("2.0 which", "3.0 which"), ""), (LGPL, "LGPL-3.0-only"), (GPL2, "GPL-2.0-only"),
+    ]
+    got = scan(spark, *[text for text, _ in cases])
+    assert [got[i]["licences"] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_licences_of_odd_rows(spark):
+    """Repeated rows and null ids are rows of their own; a very long text is scanned whole."""
+    long = "word " * 60_000 + "\n\n" + GPL2
+    df = spark.createDataFrame([(None, GPL2), (1, GPL2), (1, GPL2), (1, None), (2, long)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["licences"]) for r in licences.scan(df).collect()) == [(0, "GPL-2.0-only"), (1, ""), (1, "GPL-2.0-only"), (1, "GPL-2.0-only"), (2, "GPL-2.0-only")]
+
+
 def test_licences(spark):
     s = licences.SENTENCES
     mit = "\n".join(s[k] for k in ("mit-grant", "mit-notice", "mit-warranty"))
