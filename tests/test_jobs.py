@@ -319,6 +319,16 @@ def test_containment_equals_brute_force(spark):
     assert hits == {r["p"]: sum(bool(r["t"]) and bool(b) and r["t"] in b for b in bodies) for r in probes.collect()}
 
 
+def test_short_bodies_need_no_text(spark):
+    """Bodies of blanks, of one and two words, of words cut at either end, and of blanks that differ, by brute force."""
+    rng = random.Random(4)
+    parts = ["a", "ab", "abc", "abcd", "é", " ", "  ", "\n", "\t", "b c", "", "x"]
+    bodies = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(150)} | {" ", "\n\n", "ab ", " ab", "abcd x\nab"})
+    rows = [("g" if i % 4 else "h", i, b) for i, b in enumerate(bodies)]
+    got = {r["k"] for r in audit.contained(spark.createDataFrame(rows, "g string, k int, body_markdown string"), group=["g"], key="k").collect()}
+    assert got == {k for g, k, b in rows if b and any(g == g2 and k != k2 and b in b2 for g2, k2, b2 in rows)}
+
+
 def test_small_audits(spark):
     df = spark.createDataFrame([("AAA", 1, "a[^1] b[^3] (1)Word", [("1", "x"), ("2", "y")], "g"), ("AAB", 2, "Jump up", None, "g"), ("AAC", 3, None, [("2", "x")], "h")], f"nodeid string, seq long, body_markdown string, footnotes {FOOTNOTES}, g string")
     rows = {r["seq"]: r for r in audit.footnote_check(df).collect()}
