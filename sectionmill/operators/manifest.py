@@ -11,9 +11,6 @@ Rules of the fold, by event and in order of ``seq``:
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,33 +30,6 @@ def event_urn() -> Column:
     return F.coalesce("urn", F.substring_index("section_key", "#", 1))
 
 
-def fold_rows(state: dict[str, dict], events: Iterable[dict]) -> dict[str, dict]:
-    """Apply ordered events to rows by key, in place; the helper of the stream, whose batches bring few events of a urn."""
-    for e in events:
-        key, kind = e["section_key"], e["kind"]
-        row = state.get(key)
-        if kind == SUPERSEDED:
-            if row is not None and row["status"] != "done":
-                del state[key]
-        elif kind == "harvested":
-            bare = e["urn"]
-            if key != bare and bare in state and state[bare]["urn"] == bare and state[bare]["status"] != "done":
-                del state[bare]
-            if row is None:
-                state[key] = dict.fromkeys(COLUMNS) | {"section_key": key, "urn": e["urn"], "status": "pending", "updated_at": e["ts"]} | {c: e[c] for c in META}
-            elif row["status"] != "done":
-                row |= {c: e[c] for c in META}
-        elif row is not None and kind == "done":
-            row |= {"status": "done", "record": e["record"], "error": None, "updated_at": e["ts"]}
-        elif row is not None and kind == "failed":
-            row |= {"status": "failed", "error": (e["error"] or "")[:1000], "updated_at": e["ts"]}
-    return state
-
-
-def _records(pdf: pd.DataFrame) -> list[dict]:
-    return pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-
-
 def fold(events: DataFrame) -> DataFrame:
     """The manifest that ``events`` leave, by windows alone: what a superseding harvest does to the bare urn's
     row is a mark among the events of that key."""
@@ -167,16 +137,19 @@ def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return store.read(store.version(), "manifest", MANIFEST)
 
 
-def upsert_snapshot(events: DataFrame, folder: str) -> list[int]:
+def upsert_snapshot(events: DataFrame, folder: str, batch: int | None = None) -> list[int]:
     """Fold events into the newest version and commit the next: only buckets of documents that the events name are read
-    and written; these are returned. ``seq`` of the events is at least 0. Raises as :func:`write_snapshot` does, and leaves the version as it was."""
+    and written; these are returned. ``seq`` of the events is at least 0. A ``batch`` that a version has already is left out. Raises as :func:`write_snapshot` does,
+    and leaves the version as it was."""
     store = Store(events.sparkSession, folder)
     base = store.version()
+    if batch is not None and batch <= base.batch:
+        return []
     named = events.select(_of(F.col("section_key")).alias("a"), _of(event_urn()).alias("b"))
     touched = sorted(r["b"] for r in named.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("b")).distinct().collect())  # BUCKETS at most
     if touched:
         rows = upsert(store.read(base, "manifest", MANIFEST, touched), events)
-        store.commit(base, store.stage(rows.select(*COLUMNS), "manifest", _of(F.col("section_key")), touched))
+        store.commit(base, store.stage(rows.select(*COLUMNS), "manifest", _of(F.col("section_key")), touched), batch)
     return touched
 
 

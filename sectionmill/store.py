@@ -26,11 +26,12 @@ class ConflictError(RuntimeError):
 
 @dataclass(frozen=True)
 class Version:
-    """What a commit says: ``number`` (0: nothing yet), the folder of each bucket as family/bucket, and folders that it replaced."""
+    """What a commit says: ``number`` (0: nothing yet), the folder of each bucket as family/bucket, folders that it replaced, and the last ``batch`` of a stream that is in it."""
 
     number: int = 0
     folders: dict[str, str] = field(default_factory=dict)
     replaced: tuple[str, ...] = ()
+    batch: int = -1
 
 
 def bucket(*columns: Column, buckets: int = BUCKETS) -> Column:
@@ -61,7 +62,7 @@ class Store:
             told = json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return Version(max(numbers), told["folders"], tuple(told["replaced"]))
+        return Version(max(numbers), told["folders"], tuple(told["replaced"]), told["batch"])
 
     def read(self, version: Version, family: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
         """The rows of a family, or of some of its buckets."""
@@ -77,14 +78,14 @@ class Store:
         there = {int(n.partition("=")[2]) for n in (p.getPath().getName() for p in self._files.listStatus(self._path(name))) if n.startswith("bucket=")}
         return {f"{family}/{b}": f"{name}/bucket={b}" if b in there else None for b in touched}
 
-    def commit(self, base: Version, changes: dict[str, str | None]) -> Version:
+    def commit(self, base: Version, changes: dict[str, str | None], batch: int | None = None) -> Version:
         """Make the version after ``base``, or raise :class:`ConflictError`. What the version before ``base`` had replaced is deleted."""
         folders = {k: v for k, v in (base.folders | changes).items() if v is not None}
-        new = Version(base.number + 1, folders, tuple(base.folders[k] for k in changes if k in base.folders))
+        new = Version(base.number + 1, folders, tuple(base.folders[k] for k in changes if k in base.folders), base.batch if batch is None else batch)
         aside = self._path("commits", f".{uuid.uuid4().hex}")
         out = self._files.create(aside, False)
         try:
-            out.write(json.dumps({"folders": new.folders, "replaced": new.replaced}).encode())
+            out.write(json.dumps({"folders": new.folders, "replaced": new.replaced, "batch": new.batch}).encode())
         finally:
             out.close()
         options = self.spark._sc._gateway.new_array(self._hadoop.Options.Rename, 0)

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.manifest import read_snapshot
 from ..workspace import new_folder
-from .streams import incremental_compile, latest, latest_progress, manifest_stream, title_progress
+from .streams import incremental_compile, latest_progress, manifest_stream, title_progress
 
 #: Arrivals into which a table is cut, in order of ``seq``.
 PARTS = 3
@@ -19,32 +21,25 @@ def shared_folder(spark: SparkSession) -> str:
     return new_folder(spark, "replay")
 
 
-def replay(events: DataFrame, folder: str, start: Callable) -> None:
-    """Write ``events`` in ``PARTS`` arrivals; after each, ``start(stream)`` gives a stream writer
-    that runs until it has read all there is."""
-    spark = events.sparkSession
-    cuts = [c for c in events.stat.approxQuantile("seq", [i / PARTS for i in range(1, PARTS)], 0.01)] if not events.isEmpty() else []
-    edges = [None, *cuts, None]
-    for low, high in zip(edges, edges[1:], strict=False):
-        part = events
-        if low is not None:
-            part = part.where(F.col("seq") > low)
-        if high is not None:
-            part = part.where(F.col("seq") <= high)
-        part.write.mode("append").parquet(f"{folder}/events")
-        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
-        start(stream).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+def _parts(rows: DataFrame) -> list[DataFrame]:
+    """``rows`` cut into ``PARTS`` in order of ``seq``."""
+    edges = [None, *(rows.stat.approxQuantile("seq", [i / PARTS for i in range(1, PARTS)], 0.01) if not rows.isEmpty() else []), None]
+    every = F.lit(True)
+    return [rows.where(every if low is None else F.col("seq") > low).where(every if high is None else F.col("seq") <= high) for low, high in zip(edges, edges[1:], strict=False)]
 
 
-def replay_manifest(events: DataFrame) -> DataFrame:
-    """The manifest that the stream leaves."""
-    spark, folder = events.sparkSession, shared_folder(events.sparkSession)
+def replay(rows: DataFrame, folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Write ``rows`` in ``PARTS`` arrivals; after each, ``start(stream)`` begins a query that runs until it has read all there is."""
+    for part in _parts(rows):
+        part.write.mode("append").parquet(f"{folder}/arrivals")
+        start(rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/arrivals")).awaitTermination()
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/rows")
 
-    replay(events, folder, lambda s: manifest_stream(s).writeStream.outputMode("update").foreachBatch(write))
-    return latest(spark.read.parquet(f"{folder}/rows"))
+def replay_manifest(events: DataFrame) -> DataFrame:
+    """The manifest that the stream leaves."""
+    folder = shared_folder(events.sparkSession)
+    replay(events, folder, lambda s: manifest_stream(s, f"{folder}/manifest", f"{folder}/checkpoint"))
+    return read_snapshot(events.sparkSession, f"{folder}/manifest")
 
 
 def _replay_complete(events: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -56,7 +51,7 @@ def _replay_complete(events: DataFrame, job: Callable[[DataFrame], DataFrame]) -
         batch.write.mode("overwrite").parquet(f"{folder}/rows-{number}")
         seen.append(number)
 
-    replay(events, folder, lambda s: job(s).writeStream.outputMode("complete").foreachBatch(write))
+    replay(events, folder, lambda s: job(s).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     return spark.read.parquet(f"{folder}/rows-{max(seen)}")
 
 
@@ -70,11 +65,6 @@ def replay_latest_progress(events: DataFrame) -> DataFrame:
 
 def replay_compile(records: DataFrame) -> str:
     """Compile records that arrive in parts; returns the folder of the titles' lines."""
-    spark, folder = records.sparkSession, shared_folder(records.sparkSession)
-    edges = [None, *(records.stat.approxQuantile("seq", [i / PARTS for i in range(1, PARTS)], 0.01) if not records.isEmpty() else []), None]
-    for low, high in zip(edges, edges[1:], strict=False):
-        part = records.where(F.lit(True) if low is None else F.col("seq") > low).where(F.lit(True) if high is None else F.col("seq") <= high)
-        part.write.mode("append").parquet(f"{folder}/arrivals")
-        stream = spark.readStream.schema(records.schema).parquet(f"{folder}/arrivals")
-        incremental_compile(stream, f"{folder}/records", f"{folder}/titles", f"{folder}/checkpoint").awaitTermination()
+    folder = shared_folder(records.sparkSession)
+    replay(records, folder, lambda s: incremental_compile(s, f"{folder}/records", f"{folder}/titles", f"{folder}/checkpoint"))
     return f"{folder}/titles"

@@ -1,46 +1,27 @@
-"""Manifest, progress and compile as streams. None needs event time: state is a small row per
-section or title, kept for good, and the last arrival by ``seq`` wins."""
+"""Manifest, progress and compile as streams. None needs event time. What the manifest and the compile keep of each section lies in buckets of
+a :class:`~sectionmill.store.Store`, kept for good; the last arrival by ``seq`` wins."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
 from ..operators.corpus import grouped, json_lines, write_titles
-from ..operators.manifest import COLUMNS, EVENT_COLUMNS, _records, event_urn, fold_rows
-from ..schemas import MANIFEST
+from ..operators.manifest import upsert_snapshot
 from ..store import Store, bucket
 from ..workspace import written
 
-_STATE = f"rows array<struct<{', '.join(f'{c.split()[0]}:{c.split()[1]}' for c in MANIFEST.split(', '))}>>"
-
-
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """All rows of one urn, after the events that a micro-batch brings, in order of ``seq``."""
-    held = {r["section_key"]: r for r in ({c: x[c] for c in COLUMNS} if isinstance(x, dict) else dict(zip(COLUMNS, x, strict=True)) for x in (state.get[0] if state.exists else []))}
-    events = [e for pdf in batches for e in _records(pdf)]
-    events.sort(key=lambda e: e["seq"])
-    fold_rows(held, events)
-    state.update(([tuple(r[c] for c in COLUMNS) for r in held.values()],))
-    yield pd.DataFrame(list(held.values()), columns=COLUMNS)
 
+def manifest_stream(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep the manifest of a stream of events as the newest version of a snapshot (:func:`~sectionmill.operators.manifest.read_snapshot`).
 
-def manifest_stream(events: DataFrame) -> DataFrame:
-    """The rows of every urn that a batch touches, as they are then, in update mode."""
-    named = events.select(*EVENT_COLUMNS).withColumn("urn", event_urn())
-    return named.groupBy("urn").applyInPandasWithState(_step, MANIFEST, _STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def latest(rows: DataFrame) -> DataFrame:
-    """The newest row of each key of a written manifest stream, which numbers its batches in ``batch``."""
-    newest = rows.groupBy("urn").agg(F.max("batch").alias("__batch")).withColumnRenamed("urn", "__urn")
-    return rows.join(newest, (F.col("urn") == F.col("__urn")) & (F.col("batch") == F.col("__batch"))).drop("__urn", "__batch", "batch")
+    A batch folds its events, by windows, into the buckets of the documents that it names and commits them with its number, so that a
+    batch that runs again does nothing. Events of a document may come in any batches; within one they are in order of ``seq``.
+    """
+    named = lambda batch, number: upsert_snapshot(batch, folder, number)
+    return events.writeStream.foreachBatch(named).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def title_progress(events: DataFrame) -> DataFrame:
