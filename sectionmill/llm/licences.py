@@ -205,13 +205,15 @@ def identifiers(text: Column, sentences: dict[str, str]) -> Column:
     """
     known = {normal(s): name for name, s in sentences.items()}
 
-    def form(sentence: Column) -> Column:
-        plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    def named(s: Column) -> Column:
+        out = s
         for holds, pattern, to in NAMED:
-            plain = F.when(F.contains(plain, F.lit(holds)), F.regexp_replace(plain, pattern, to)).otherwise(plain)
-        return plain
+            out = F.when(F.contains(s, F.lit(holds)) & s.rlike(pattern), F.regexp_replace(s, pattern, to)).otherwise(out)
+        return out
 
-    said = F.transform(F.split(text, _STOP), form)
+    # Two steps, so that a sentence's normal form is worked out once and not wherever a pattern looks at it.
+    said = F.transform(F.split(text, _STOP), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    said = F.transform(said, named)
     found = F.filter(said, lambda s: s.isin(*known))
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return F.transform(found, lambda s: F.element_at(table, s))
@@ -268,8 +270,9 @@ def _oracle() -> str:
     made = lambda pairs: "MAP {" + ", ".join(f"'{k}': {v}" for k, v in pairs) + "}"
     stop = _STOP.replace(r"\n", "' || chr(10) || '").replace(r"\t", "' || chr(9) || '").replace(r"\r", "' || chr(13) || '")
     form = "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))"
-    for _, pattern, to in NAMED:
-        form = f"regexp_replace({form}, '{pattern}', '{to}')"
+    plain = form
+    for holds, pattern, to in NAMED:
+        form = f"CASE WHEN contains({plain}, '{holds}') AND regexp_matches({plain}, '{pattern}') THEN regexp_replace({plain}, '{pattern}', '{to}') ELSE {form} END"
     ids = lambda t: f"list_filter(list_transform(regexp_split_to_array({t}, '{stop}'), lambda s: m[{form}]), lambda x: x IS NOT NULL)"
     says = f"flatten(list_transform(regexp_extract_all(text, '{_TAG}', 1), lambda e: regexp_split_to_array(e, '{_JOINS}')))"
     tags_ = f"list_filter(list_transform({says}, lambda x: g[lower(regexp_extract(x, '{_ID}', 1))]), lambda x: x IS NOT NULL)"
