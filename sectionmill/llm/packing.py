@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .scratch import RUN, bound_batches, kind, materialise, run_starts, valid
 
 CAPACITY, END_ID = 1024, 2
-#: Characters of the words whose ids a process remembers (about 100 MB): the words of late, and those before.
-_REMEMBERED = 5_000_000
+#: Characters of the words whose ids a process remembers (about 150 MB): the words of late, and those before.
+_REMEMBERED = 10_000_000
 #: Words that are encoded in one text.
 _TOGETHER = 200
 _encoders: dict[str, "Encoder"] = {}
