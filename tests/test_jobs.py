@@ -261,18 +261,18 @@ def test_an_unclosed_cell_or_item_is_a_depth(spark):
     html = '<div class="SS_HK"><ul><li><a id="U.1"></a>one<li><a id="U.2"></a>two<ul><li>in</ul><li><a id="U.3"></a>three</ul><p>tail</div>'
     work = spark.createDataFrame([("n", k, None, k, False) for k in ("U.1", "U.2", "U.3")], WORK)
     got = {r["section_key"]: r["body_markdown"] for r in pages.parse(work, spark.createDataFrame([("n", html)], "doc string, html string")).collect()}
-    assert got == {"U.1": "* one", "U.2": "* two\n+ in", "U.3": "* three"}
+    assert got == {"U.1": "* one", "U.2": "* two\n* in", "U.3": "* three"}
 
 
-@pytest.mark.parametrize("piece", ["<!-- x > y ", "<script>a", "<p title='x\" ", "<a <a ", "<![ ", " ", "\n ", "<p>", "<li>\n<b> ", "<i>\n</i>"])
-def test_the_time_of_a_page_is_linear(spark, piece):
-    """Two megabytes of what could be tried anew at each place."""
+def test_the_time_of_a_page_is_linear(spark):
+    """Long texts of what could be tried anew at each place; none takes long, and the page before it is whole."""
     import time
 
-    html = '<div class="c">t</div>' + piece * (400_000 // len(piece))
+    pieces = ["<!-- x > y ", "<script>a", "<p title='x\" ", "<a <a ", "<![ ", " ", "\n ", "<p>", "<li>\n<b> ", "<i>\n</i>"]
+    rows = [(i, '<div class="c">t</div>' + p * (400_000 // len(p))) for i, p in enumerate(pieces)]
     began = time.time()
-    got = pages.page_texts(spark.createDataFrame([(1, html)], "page_id long, html string"), container_tags=(), containers=("c",)).first()
-    assert got["body_markdown"] == "t" and time.time() - began < 90
+    got = pages.page_texts(spark.createDataFrame(rows, "page_id long, html string"), container_tags=(), containers=("c",)).collect()
+    assert [r["body_markdown"] for r in got] == ["t"] * len(rows) and time.time() - began < 150
 
 
 def test_markdown(spark):
