@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .scratch import RUN, bound_batches, kind, materialise, run_starts, valid
 
 CAPACITY, END_ID = 1024, 2
-#: Characters of the words whose ids a process remembers (about 150 MB): the words of late, and those before.
-_REMEMBERED = 10_000_000
+#: Characters of the words whose ids a process remembers (about 250 MB): the words of late, and those before. Fewer cost time, and no result.
+REMEMBERED = 16_000_000
 #: Words that are encoded in one text.
 _TOGETHER = 200
 _encoders: dict[str, "Encoder"] = {}
@@ -68,9 +68,10 @@ class Encoder:
     space than single spaces and line ends between visible characters is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.by_words = _by_words(path)
@@ -107,7 +108,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self.whole(texts)
-        if self.held > _REMEMBERED // 2:  # words that come up again move over, all others are forgotten the next time
+        if self.held > self.remembered // 2:  # words that come up again move over, all others are forgotten the next time
             self.early, self.late, self.held = self.late, {}, 0
         cut = [None if t.endswith(" ") or any(x in t for x in _OTHER_BLANKS) else _WORDS(t) for t in texts]
         missing = set().union(*(words for words in cut if words)) - self.late.keys()
@@ -120,16 +121,17 @@ class Encoder:
         return [self.joined(text, words) for text, words in zip(texts, cut, strict=True)]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """The encoder of a vocabulary; one for each process."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].remembered = remembered
     return _encoders[path]
 
 
-def _cutter(path: str, capacity: int, end_id: int):
+def _cutter(path: str, capacity: int, end_id: int, remembered: int = REMEMBERED):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, remembered), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, raw in enumerate(encode([t or "" for t in batch.column("text").to_pylist()])):
@@ -149,16 +151,16 @@ def _cutter(path: str, capacity: int, end_id: int):
     return run
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces (id, piece, start, length, ids_crc32) of every document's ids and end id.
 
     A document of more than ``capacity`` ids is cut so that all pieces but the first are
-    full. A null text counts as empty: one piece, the end id. Broken UTF-8 counts as U+FFFD. A very long text
+    full. ``remembered`` bounds a Python worker's memory of words. A null text counts as empty: one piece, the end id. Broken UTF-8 counts as U+FFFD. A very long text
     is encoded whole, by the task that holds its row.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), valid(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(_cutter(tokenizer or default_tokenizer(), capacity, end_id), f"id {kind(rows, 'id')}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(_cutter(tokenizer or default_tokenizer(), capacity, end_id, remembered), f"id {kind(rows, 'id')}, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], must: int, capacity: int) -> dict[int, int]:
@@ -210,7 +212,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: (id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Sequences hold at most ``capacity`` ids without gaps. Ids may be of any type. Repeated rows and null ids
@@ -219,7 +221,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
     which of them shares a sequence with which may differ from run to run.
     """
     spark = docs.sparkSession
-    pieces = cut(docs, id_col, text_col, tokenizer=tokenizer, capacity=capacity, end_id=end_id)
+    pieces = cut(docs, id_col, text_col, tokenizer=tokenizer, capacity=capacity, end_id=end_id, remembered=remembered)
     pieces = materialise(pieces.withColumn("at", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = spark.createDataFrame([(k, v // RUN + 1) for k, v in histogram.items()], "length long, runs long")
