@@ -16,6 +16,8 @@ from sectionmill.llm.scratch import materialise
 #: A prediction less sure than this is a rejection; with four languages a guess has 0.25.
 LEAST_SCORE = 0.4
 BUDGET = 0.8
+#: Characters of words that packing's workers remember; they share executors with what other stages leave in memory.
+REMEMBERED = 5_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences, each row for itself."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [
