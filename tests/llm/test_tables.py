@@ -97,8 +97,8 @@ def test_ids_equal_the_tokenizers_library():
     for start in range(0, len(texts), 500):  # the memory of words lasts from batch to batch
         assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts[start : start + 500])] == want[start : start + 500]
     for _ in range(3):
-        encode.held = packing._REMEMBERED
-        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts[:50])] == want[:50] and encode.held < packing._REMEMBERED and len(encode.late) < 500
+        encode.held = packing.REMEMBERED
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts[:50])] == want[:50] and encode.held < packing.REMEMBERED and len(encode.late) < 500
 
 
 def check_packing(rows, got, capacity):
