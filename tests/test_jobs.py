@@ -1,3 +1,4 @@
+import itertools
 import json
 import random
 from pathlib import Path
@@ -84,6 +85,41 @@ def test_page_model_and_dom(spark):
     assert [r["title"] for r in toc.model_catalog(responses(spark, html)).where("nodeid = ''").collect()] == ['Work "}" {']
 
 
+def chain(depth, wide, make):
+    """A tree of that depth: each node but the last has ``wide`` leaves before its one branch."""
+    node = make("AAB", [])
+    for _ in range(depth - 1):
+        node = make("AAA", [make("ABC", []) for _ in range(wide)] + [node])
+    return node
+
+
+def test_deep_trees_keep_their_order(spark):
+    names = itertools.count()
+    body = api(chain(12, 3, lambda i, below: {"nodeId": f"{i}{next(names):03d}", "nodes": [*below, "junk"], "hasChildren": False}), 5, {"nodeId": 7, "level": "2", "docFullPath": None})
+
+    def walk(below):
+        for n in below:
+            if isinstance(n, dict):
+                yield str(n["nodeId"])
+                yield from walk(n.get("nodes", []))
+
+    rows = toc.toc_nodes_from_api_json(responses(spark, body, body)).where("batch_seq = 1").orderBy("seq").collect()
+    assert [r["nodeid"] for r in rows] == list(walk(json.loads(body)["tocEntity"]["tocContainer"]["tocNodes"]))
+    assert [r["seq"] for r in rows] == list(range(46)) and rows[0]["has_children"] is True and rows[-1]["level"] == 0
+    assert "Python" not in toc.toc_nodes_from_api_json(responses(spark, body))._jdf.queryExecution().toString()
+
+
+def test_models_where_lists_nest(spark):
+    page = lambda tree: "<script>this.add('page.model', " + json.dumps(tree) + ");</script>"
+    ids = lambda *found: [{"id": i, "collections": {"nodehierarchy": [{"id": "AAC", "props": {"haschildren": 1, "islink": "false", "linktemplatehrefvalue": DOC}}]}} for i in found]
+    near = {"x": [{"y": {"tocnodes": ids("AAZ")}}], "z": {"tocnodes": ids("AAB"), "deeper": {"tocnodes": ids("AAY")}}}
+    equal = {"a": [1, {"tocnodes": ids("AAD")}, {"tocnodes": ids("AAE")}], "tocnodes": "none"}
+    rows = toc.toc_nodes_from_pages(responses(spark, page(near), page(equal), page({"no": {"tocnodes": 3}}), page({"tocnodes": []}))).orderBy("batch_seq", "seq").collect()
+    assert [(r["batch_seq"], r["nodeid"], r["has_children"], r["urn"]) for r in rows] == [
+        (0, "AAB", False, None), (0, "AABAAC", True, "urn:contentItem:DOC-1"), (1, "AAD", False, None), (1, "AADAAC", True, "urn:contentItem:DOC-1")]
+    assert toc.toc_nodes_from_pages(responses(spark).limit(0)).count() == 0
+
+
 def test_seeds(spark):
     lines = ["# no", "", " https://a ", "T | https://b", "T|https://c|Volume 1| x"]
     rows = tables.seed_columns(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
