@@ -2,7 +2,8 @@
 
 Regions are titles, nations and customers branches, orders leaves; node ids come from each
 row's place below its parent. Customers in debt are anchored branches, orders of one customer in
-ten share a urn, one order in fifty arrives twice, and the orders of one customer in 25 never do.
+ten share a urn, and one order in fifty arrives twice. Where branches without children are the point, the
+orders of one customer in 25 never arrive.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def _place(parent: str, key: str):
     return N.int_to_seg(F.row_number().over(Window.partitionBy(parent).orderBy(key)))
 
 
-def toc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def toc_nodes(spark: SparkSession, sf_dir: str, *, stranded: bool = False) -> DataFrame:
     null = F.lit(None).cast("string")
     region = table(spark, sf_dir, "region").withColumn("rid", N.int_to_seg(F.col("r_regionkey") + 1))
     name = F.concat("r_name", F.lit(" (Volume "), (F.col("r_regionkey") + 1).cast("string"), F.lit(" (2022))"))
@@ -35,7 +36,7 @@ def toc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").withColumn("cseg", _place("c_nationkey", "c_custkey"))
     customer = customer.join(nation, customer.c_nationkey == nation.n_nationkey).withColumn("cid", F.concat("nid", "cseg"))
     orders = table(spark, sf_dir, "orders").withColumn("oseg", _place("o_custkey", "o_orderkey"))
-    orders = orders.join(customer, orders.o_custkey == customer.c_custkey).withColumn("oid", F.concat("cid", "oseg")).where("o_custkey % 25 <> 0")
+    orders = orders.join(customer, orders.o_custkey == customer.c_custkey).withColumn("oid", F.concat("cid", "oseg")).where("o_custkey % 25 <> 0" if stranded else "true")
     urn = lambda kind, key: F.concat(F.lit(f"urn:contentItem:{kind}-"), F.lpad(key.cast("string"), 9, "0"), F.lit("-00000-00"))
 
     def node(rows: DataFrame, seq, nodeid: str, label, urn_, anchor, branch: bool, level: int):

@@ -54,7 +54,7 @@ o AS (SELECT orders.*, rid, title_name, cid, row_number() OVER (PARTITION BY o_c
 o2 AS (SELECT *, cid || {_seg("k")} AS oid,
   CASE WHEN o_custkey % 10 = 0 THEN 'urn:contentItem:CUST-' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') ELSE 'urn:contentItem:ORDR-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') END || '-00000-00' AS ourn,
   '[' || (o_orderkey % 97) || '.' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || ']. ' || o_orderpriority || ' order' AS olabel
-  FROM o WHERE o_custkey % 25 <> 0),
+  FROM o),
 nodes AS (
   SELECT rid AS title_nodeid, title_name, CAST(r_regionkey AS BIGINT) AS seq, rid AS nodeid, title_name AS label, CAST(NULL AS VARCHAR) AS urn, CAST(NULL AS VARCHAR) AS anchor_id, TRUE AS has_children, 1 AS level FROM r
   UNION ALL SELECT rid, title_name, n_nationkey + 1000, nid, nseg || ' ' || n_name, NULL, NULL, TRUE, 2 FROM n2
@@ -81,6 +81,10 @@ def with_nodes(sql: str) -> str:
     return f"WITH {NODES} {sql}"
 
 
+def with_stranded_nodes(sql: str) -> str:
+    return f"WITH {NODES.replace('FROM o)', 'FROM o WHERE o_custkey % 25 <> 0)')} {sql}"
+
+
 def with_sections(sql: str) -> str:
     return f"WITH {NODES}, {SECTIONS} {sql}"
 
@@ -318,11 +322,11 @@ def jn4_work_counts(spark: SparkSession, d: str) -> DataFrame:
     return manifest.work_counts(s, _section_states(s))
 
 
-@register("jn7_titles_with_counts", with_sections(f""", {_STATE_OF}, c7 AS (SELECT title, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) AS total FROM st2 JOIN sec USING (section_key) WHERE title <> 'ASIA' GROUP BY title)
+@register("jn7_titles_with_counts", with_sections(f""", {_STATE_OF}, c7 AS (SELECT title, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) AS total FROM st2 JOIN sec USING (section_key) GROUP BY title)
   SELECT rid AS nodeid, title_name AS name, coalesce(done, 0) AS done, coalesce(failed, 0) AS failed, CAST(total AS DOUBLE) AS total, CASE WHEN total IS NULL THEN 'not started' WHEN total - done - failed <= 0 THEN CASE WHEN failed = 0 THEN 'complete' ELSE 'has failures' END ELSE 'in progress' END AS status
   FROM r LEFT JOIN c7 ON c7.title = regexp_extract(title_name, '^(.*?)\\s*\\((Volume\\b.*)\\)\\s*$', 1)"""))
 def jn7_titles_with_counts(spark: SparkSession, d: str) -> DataFrame:
-    counts = manifest.title_counts(_section_states(_sections(spark, d))).where("title <> 'ASIA'")
+    counts = manifest.title_counts(_section_states(_sections(spark, d)))
     return manifest.titles_with_counts(sections.title_catalog(A.titles(spark, d)), counts).select("nodeid", "name", "done", "failed", F.col("total").cast("double").alias("total"), "status")
 
 
@@ -509,14 +513,14 @@ def jn2_subtree(spark: SparkSession, d: str) -> DataFrame:
     return sections.subtree(n, n.where("level = 2"), "nodeid").select("root", "nodeid", "seq")
 
 
-@register("jn5_stranded", with_nodes("SELECT nodeid FROM nodes WHERE has_children AND nodeid NOT IN (SELECT left(nodeid, length(nodeid) - 3) FROM nodes WHERE length(nodeid) > 3)"))
+@register("jn5_stranded", with_stranded_nodes("SELECT nodeid FROM nodes WHERE has_children AND nodeid NOT IN (SELECT left(nodeid, length(nodeid) - 3) FROM nodes WHERE length(nodeid) > 3)"))
 def jn5_stranded(spark: SparkSession, d: str) -> DataFrame:
-    return sections.stranded(_nodes(spark, d)).select("nodeid")
+    return sections.stranded(A.toc_nodes(spark, d, stranded=True)).select("nodeid")
 
 
-@register("jn6_frontier", with_nodes("SELECT title_nodeid, nodeid, 4 AS target_level FROM nodes WHERE has_children AND nodeid NOT IN (SELECT left(nodeid, length(nodeid) - 3) FROM nodes WHERE length(nodeid) > 3)"))
+@register("jn6_frontier", with_stranded_nodes("SELECT title_nodeid, nodeid, 4 AS target_level FROM nodes WHERE has_children AND nodeid NOT IN (SELECT left(nodeid, length(nodeid) - 3) FROM nodes WHERE length(nodeid) > 3)"))
 def jn6_frontier(spark: SparkSession, d: str) -> DataFrame:
-    return sections.frontier(_nodes(spark, d), sections.title_catalog(A.titles(spark, d))).select("title_nodeid", "nodeid", "target_level")
+    return sections.frontier(A.toc_nodes(spark, d, stranded=True), sections.title_catalog(A.titles(spark, d))).select("title_nodeid", "nodeid", "target_level")
 
 
 @register("win1_section_key", with_sections("SELECT seq, nodeid, section_key FROM keyed"))
@@ -667,7 +671,7 @@ def par1_parse_sections(spark: SparkSession, d: str) -> DataFrame:
 @register("qa7_anchor_misses", "SELECT 'urn:contentItem:C' || o_custkey AS urn, count(*) AS sections, count(*) FILTER (o_orderkey % 20 = 0 OR o_custkey % 17 = 0) AS misses FROM orders GROUP BY o_custkey")
 def qa7_anchor_misses(spark: SparkSession, d: str) -> DataFrame:
     secs, docs = _section_pages(spark, d)
-    return pages.anchor_misses(pages.parse_sections(secs, docs), secs).select(F.regexp_extract("doc", "urn:contentItem:C[0-9]+", 0).alias("urn"), "sections", "misses")
+    return pages.anchor_misses(pages.found_anchors(secs, docs), secs).select(F.regexp_extract("doc", "urn:contentItem:C[0-9]+", 0).alias("urn"), "sections", "misses")
 
 
 @register("jn3_section_documents", "SELECT CAST(o_orderkey AS VARCHAR) AS section_key, 'urn:contentItem:C' || o_custkey AS urn FROM orders WHERE o_custkey % 34 <> 0")

@@ -329,6 +329,8 @@ def test_parse_job_shares_documents(spark):
     assert got["a"]["body_markdown"] == "First kite text[^1]." and got["b"]["heading"] == "Own"
     assert got["c"]["error"].startswith("ParseError") and got["d"]["error"].startswith("ParseError")
     assert [(r["sections"], r["misses"]) for r in pages.anchor_misses(out, secs).collect()] == [(2, 0)]
+    told = pages.found_anchors(secs, docs)
+    assert sorted(map(tuple, told.collect())) == sorted((r["section_key"], r["anchor_found"]) for r in out.collect())
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
