@@ -668,6 +668,44 @@ def par1_parse_sections(spark: SparkSession, d: str) -> DataFrame:
     return pages.parse_sections(secs, docs).select("section_key", "heading", "body_markdown", "anchor_found", "error")
 
 
+def _house_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of customers in the house style: a unit for each order with a note, a list of definitions whose end tags are left out, and a commentary
+    below it; the notes of all units in one footer. Each order asks for its unit, without commentary or with it, for the commentary, or for a definition."""
+    o = A.table(spark, d, "orders").withColumn("k", F.col("o_orderkey").cast("string")).withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("string"))
+    path = U.build_viewer_url(F.concat(F.lit("urn:contentItem:H"), F.col("o_custkey").cast("string")), F.lit("AAB"))
+    kind = F.col("o_orderkey") % 4
+    anchor = F.concat(F.lit("R."), F.col("k"), F.when(kind == 1, ".C_1").when(kind == 2, ".DATE").otherwise(""))
+    secs = o.select(F.col("k").alias("section_key"), path.alias("source_url"), F.lit(None).cast("string").alias("heading"), anchor.alias("anchor_id"), (kind == 0).alias("body_only"))
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    unit = F.concat(
+        F.lit('<a id="R.'), "k", F.lit('"></a><br><h2 class="SS_Banner">['), "k", F.lit('.001] '), "o_orderpriority", F.lit('</h2><div class="SS_Indent"><p>Ordered <span class="SS_bf">once</span> <a class="SS_FootnoteReference" id="fnref_R.'), "k", F.lit(".F"), "n", F.lit('-R" href="#"></a>.<dl><dt><a id="R.'), "k",
+        F.lit('.DATE"></a>date<dd>'), F.col("o_orderdate").cast("date").cast("string"), F.lit('<dt><a id="R.'), "k", F.lit('.STATUS"></a>status<dd>'), "o_orderstatus", F.lit('</dl><div data-id="HideShow_Commentary"><div class="SS_CommentaryContent"><a id="R.'), "k",
+        F.lit('.C_1"></a><span class="SS_Heading"><span class="SS_bf">[1.01] Price</span></span><p>Costs '), price, F.lit(".</div></div></div>"),
+    )
+    note = F.concat(F.lit('<li><span><a class="SS_FootnoteDefinition" id="fndef_R.'), "k", F.lit(".F"), "n", F.lit('">'), "n", F.lit('</a></span> <span class="SS_FootnoteBody">Kept by <a href="#">'), "o_orderstatus", F.lit("</a>.</span>"))
+    row = F.array_sort(F.collect_list(F.struct("o_orderkey", unit.alias("unit"), note.alias("note"))))
+    docs = o.groupBy(path.alias("url")).agg(row.alias("r"))
+    said = lambda name: F.array_join(F.transform("r", lambda x: x[name]), "\n")
+    html = F.concat(F.lit('<div class="SS_contentdocument">'), said("unit"), F.lit('<footer class="SS_Footnote"><ol>'), said("note"), F.lit("</ol></footer></div>"))
+    return secs, docs.select("url", html.alias("html"))
+
+
+_PRICED = "'### [1.01] Price' || chr(10) || chr(10) || 'Costs ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || '.'"
+_DATED = "'date' || chr(10) || ': ' || strftime(o_orderdate, '%Y-%m-%d')"
+_UNIT = f"'Ordered **once**[^' || n || '].' || chr(10) || chr(10) || {_DATED} || chr(10) || chr(10) || 'status' || chr(10) || ': ' || o_orderstatus"
+
+
+@register("par1_house_style", f"""WITH o AS (SELECT *, o_orderkey % 4 AS kind, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+  SELECT CAST(o_orderkey AS VARCHAR) AS section_key, CASE WHEN kind IN (0, 3) THEN '[' || o_orderkey || '.001] ' || o_orderpriority ELSE '' END AS heading,
+  CASE kind WHEN 0 THEN {_UNIT} WHEN 1 THEN {_PRICED} WHEN 2 THEN {_DATED} ELSE {_UNIT} || chr(10) || chr(10) || {_PRICED} END AS body_markdown,
+  CASE WHEN kind IN (0, 3) THEN n || '=Kept by ' || o_orderstatus || '.' ELSE '' END AS footnotes, TRUE AS anchor_found FROM o""")
+def par1_house_style(spark: SparkSession, d: str) -> DataFrame:
+    """Units, commentaries and definitions of documents with a shared footer."""
+    secs, docs = _house_pages(spark, d)
+    notes = F.array_join(F.transform("footnotes", lambda f: F.concat(f["n"], F.lit("="), f["text"])), "|").alias("footnotes")
+    return pages.parse_sections(secs, docs).select("section_key", "heading", "body_markdown", notes, "anchor_found")
+
+
 @register("qa7_anchor_misses", "SELECT 'urn:contentItem:C' || o_custkey AS urn, count(*) AS sections, count(*) FILTER (o_orderkey % 20 = 0 OR o_custkey % 17 = 0) AS misses FROM orders GROUP BY o_custkey")
 def qa7_anchor_misses(spark: SparkSession, d: str) -> DataFrame:
     secs, docs = _section_pages(spark, d)
