@@ -50,6 +50,13 @@ def test_titles(spark):
     assert names("AGENT") == {"Subagents"} and names("agen") == {"Agency (Volume 1)"} and names("zzz") == set() and len(names(None)) == 2
 
 
+def test_titles_without_states_have_not_started(spark):
+    cat = spark.createDataFrame([("AAB", "Agency (Volume 1)"), ("AAC", "Bailment")], "nodeid string, name string")
+    counts = spark.createDataFrame([("Agency", 1, 1, 0, 2)], "title string, done long, failed long, pending long, total long")
+    got = {r["nodeid"]: (r["done"], r["failed"], r["status"]) for r in manifest.titles_with_counts(cat, counts).collect()}
+    assert got == {"AAB": (1, 1, "has failures"), "AAC": (0, 0, "not started")}
+
+
 def test_merge_first_delivery_wins(spark):
     df = nodes(spark, [{"nodeid": "AAB", "label": "late"}, {"nodeid": "AAB", "label": "early"}]).withColumn("batch_seq", F.when(F.col("label") == "early", 1).otherwise(2))
     assert [r["label"] for r in sections.merge_batches(df).collect()] == ["early"]
