@@ -64,25 +64,25 @@ def hierarchies(sections: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.withColumn("hierarchy", F.coalesce("hierarchy", F.array().cast("array<string>")))
 
 
-def build_sections(nodes: DataFrame, *, base_url: str = U.BASE_URL) -> DataFrame:
+def build_sections(nodes: DataFrame, *, base_url: str = U.BASE_URL, wide_ids: bool = False) -> DataFrame:
     """Ordered, deduplicated sections of all titles, without those whose id isn't valid.
 
-    Rows of an invalid id are in :func:`rejects`.
+    Rows of an invalid id are in :func:`rejects`. ``wide_ids`` are those of more siblings than a chunk's letters number.
     """
-    kept = first_by_key(section_keys(nodes.where(N.is_valid(F.col("nodeid")) | ~X.filled(F.col("nodeid")))))
+    kept = first_by_key(section_keys(nodes.where(N.is_valid(F.col("nodeid"), wide_ids) | ~X.filled(F.col("nodeid")))))
     placed = hierarchies(kept, nodes)
     number, heading = X.split_number_heading(F.col("label"))
     title, volume = X.split_title_volume(F.col("title_name"))
     url = F.when(X.filled(F.col("url")), F.col("url")).otherwise(U.build_viewer_url(F.col("urn"), F.col("nodeid"), F.col("anchor_id"), base_url=base_url))
     return placed.select(
         "section_key", "urn", "nodeid", title.alias("title"), number.alias("number"), heading.alias("heading"), "hierarchy", volume.alias("volume"),
-        url.alias("source_url"), "publication", "anchor_id", F.coalesce("has_children", F.lit(False)).alias("body_only"), N.nodeid_to_path(F.col("nodeid")).alias("decoded_path"), "title_nodeid", "seq",
+        url.alias("source_url"), "publication", "anchor_id", F.coalesce("has_children", F.lit(False)).alias("body_only"), N.nodeid_to_path(F.col("nodeid"), wide_ids).alias("decoded_path"), "title_nodeid", "seq",
     )
 
 
-def rejects(nodes: DataFrame) -> DataFrame:
+def rejects(nodes: DataFrame, *, wide_ids: bool = False) -> DataFrame:
     """Candidates that can't be placed, with the reason."""
-    return candidates(nodes).where(~N.is_valid(F.col("nodeid"))).withColumn("error", F.concat(F.lit("invalid node id: "), F.col("nodeid")))
+    return candidates(nodes).where(~N.is_valid(F.col("nodeid"), wide_ids)).withColumn("error", F.concat(F.lit("invalid node id: "), F.col("nodeid")))
 
 
 def reading_order(rows: DataFrame, group: list[str], nodeid: str = "nodeid", seq: str = "seq") -> DataFrame:

@@ -38,6 +38,15 @@ def test_bad_ids_have_no_path(spark, bad):
     assert one(spark, bad, lambda x: N.nodeid_to_path(x)) is None
 
 
+def test_wide_ids_number_more_siblings(spark):
+    for n in (0, 675, 17575, 17576, 36000, 216000):
+        seg = one(spark, n, lambda x: N.int_to_seg(x, wide=True), "long")
+        assert seg == chr(65 + n // 676) + chr(65 + n // 26 % 26) + chr(65 + n % 26) and one(spark, "AAB" + seg, lambda x: N.nodeid_to_path(x, wide=True)) == [1, n]
+        assert (one(spark, n, N.int_to_seg, "long"), one(spark, seg, N.is_valid)) == ((seg, True) if n < 17576 else (None, False))
+    for bad in ("", "AB", "@AA", "Aaa", "1AA", "AAAaB", None):
+        assert one(spark, bad, lambda x: N.nodeid_to_path(x, wide=True)) is None
+
+
 def test_string_order_is_path_order(spark):
     rng = random.Random(5)
     ids = ["".join(chr(65 + rng.randrange(26)) for _ in range(3 * rng.randrange(1, 5))) for _ in range(500)]

@@ -568,6 +568,24 @@ def test_registered_queries_equal_their_sql(spark, sf_dir):
             assert columns == sorted(names) and rows == want, name
 
 
+def test_nations_of_more_customers_than_a_chunk_numbers(spark, sf_dir, tmp_path):
+    """Every customer past the 17,575th of a nation is a node of its own, with its orders, as in SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from sectionmill.plans import queries
+
+    con = duckdb.connect()
+    for name in ("region", "nation"):
+        con.execute(f"COPY (SELECT * FROM '{sf_dir}/{name}.parquet') TO '{tmp_path}/{name}.parquet'")
+    con.execute(f"COPY (SELECT c.* REPLACE (i AS c_custkey, 3::INTEGER AS c_nationkey) FROM (SELECT * FROM '{sf_dir}/customer.parquet' LIMIT 1) c, range(17600) r(i)) TO '{tmp_path}/customer.parquet'")
+    con.execute(f"COPY (SELECT o.* REPLACE (i AS o_orderkey, 17540 + i // 2 AS o_custkey) FROM (SELECT * FROM '{sf_dir}/orders.parquet' LIMIT 1) o, range(120) r(i)) TO '{tmp_path}/orders.parquet'")
+    for name in ("region", "nation", "customer", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    for name in ("flagship_sections", "src2_toc_api_json", "col1_nodeid_to_path", "col2_path_to_nodeid"):
+        got, found = queries.QUERIES[name](spark, str(tmp_path)), con.execute(queries.SQL[name])
+        columns, names = got.columns, [c[0] for c in found.description]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in found.fetchall()), name
+
+
 def test_the_library_stands_without_llm(tmp_path):
     """With the subpackage and the pipeline gone, all other queries are there; a broken import inside isn't hidden."""
     import shutil
