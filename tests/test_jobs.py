@@ -299,6 +299,21 @@ def test_implied_end_tags_and_open_ends(spark):
     assert all(got[i]["error"] == "ParseError: no content container" for i in cut)
 
 
+def test_tokens_are_numbered_where_they_are_cut(spark):
+    """Neither windows nor shuffles number tokens, and a document may lie in any number of batches."""
+    rows = [(f"d{i}", f'<div class="SS_HK"><a id="U.{i}"></a>{html}</div>') for i, html in enumerate([html for html, _ in [*IMPLIED, *MARKDOWN]] + [SHARED, ANNOTATED, "", "</p>", None])]
+    found = pages._tokens(spark.createDataFrame(rows, "doc string, html string"), pages.MARKUP)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    want, key = sorted(map(repr, found.collect())), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        assert sorted(map(repr, found.select("*").collect())) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_an_unclosed_cell_or_item_is_a_depth(spark):
     """A slice ends where the element around it does, though its own elements and those before it have no end tags."""
     html = '<div class="SS_HK"><ul><li><a id="U.1"></a>one<li><a id="U.2"></a>two<ul><li>in</ul><li><a id="U.3"></a>three</ul><p>tail</div>'
