@@ -1,6 +1,7 @@
 import itertools
 import json
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -494,6 +495,35 @@ def test_titles_in_parts(spark, tmp_path):
     assert told["big"] == (200, sum(f.stat().st_size for f in files)) and told["tiny"][0] == 1
 
 
+def exchanges(df, column):
+    """How often a plan shuffles ``column``."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return sum(f"{column}#" in details.partition("Arguments:")[0] for details in re.findall(r"\n\(\d+\) Exchange\n(.*?)\n\n", plan, re.S))
+
+
+def test_bodies_are_shuffled_once_to_meet_their_headings(spark):
+    df = recs(spark, ROWS)
+    assert exchanges(df.repartition(3, "body_markdown"), "body_markdown") == 1
+    assert exchanges(corpus.markdown_blocks(df), "rest") + exchanges(corpus.markdown_blocks(df), "block") == 1
+
+
+@pytest.mark.parametrize("part_bytes", [300, 1 << 20])
+def test_lines_find_their_parts_by_where_these_begin(spark, tmp_path, part_bytes):
+    """Titles of one slug, null ids and places, and equal lines, in one part and in many, are in the order of a sort of all lines."""
+    rng = random.Random(8)
+    rows = [("p", "t", rng.choice(["P", "p!"]), rng.choice(["T", "t?"]), rng.choice([None, "AAB", "AAC", "AAD"]), rng.choice([None, 1, 2]), rng.choice("xyz") * 30) for _ in range(150)]
+    rows += [("p", "u", "P", "U", "AAB", 1, "only")]
+    corpus.write_titles(spark.createDataFrame(rows, "pub_slug string, title_slug string, pub string, tit string, nodeid string, seq long, value string").repartition(4), f"{tmp_path}/t", part_bytes=part_bytes)
+    files = sorted((tmp_path / "t" / "pub_slug=p" / "title_slug=t").glob("part-*"))
+    order = lambda r: (r[2], r[3], r[5] is not None, r[4] or "", r[5] or 0)
+    place = {}
+    for r in rows[:150]:
+        place.setdefault(order(r), []).append(r[6])
+    got = iter([x for f in files for x in f.read_text().splitlines()])
+    assert all(sorted(next(got) for _ in place[k]) == sorted(place[k]) for k in sorted(place)) and next(got, None) is None
+    assert (len(files) > 5) == (part_bytes == 300)
+
+
 def test_headings_across_ranges(spark):
     """Headings of a title over many ranges, and of equal records, against a loop over the whole title."""
     rng = random.Random(6)
