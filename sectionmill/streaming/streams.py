@@ -3,14 +3,14 @@ a :class:`~sectionmill.store.Store`, kept for good; the last arrival by ``seq``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
 from ..operators.corpus import grouped, json_lines, write_titles
 from ..operators.manifest import upsert_snapshot
-from ..store import Store, bucket
+from ..store import Store, Version, bucket
 from ..workspace import written
 
 
@@ -42,13 +42,14 @@ _SLUGS = ["pub_slug", "title_slug"]
 _INDEX = "k1 long, k2 long, seq long, pub_slug string, title_slug string"
 
 
-def _newest(batch: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """The batch's newest row of each section, with its title's slugs and two hashes of the section's key."""
+def _arrived(batch: DataFrame, key: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The batch's newest row of each section, with its title's slugs and two hashes of the section's key: narrow (k1, k2, seq, slugs), and whole."""
     rows = grouped(batch)
     flags = [F.col(c).isNull() for c in key]
-    rows = rows.withColumns({"k1": F.xxhash64(*key, *flags), "k2": F.xxhash64(F.lit(7), *flags, *reversed(key))})
-    latest_ = F.max_by(F.struct(*rows.columns), F.struct("seq", F.xxhash64(F.to_json(F.struct(*batch.columns)))))
-    return rows.groupBy("k1", "k2").agg(latest_.alias("r")).select("r.*")
+    rows = rows.withColumns({"k1": F.xxhash64(*key, *flags), "k2": F.xxhash64(F.lit(7), *flags, *reversed(key)), "row": F.xxhash64(F.to_json(F.struct(*batch.columns)))})
+    narrow = rows.groupBy("k1", "k2").agg(F.max(F.struct("seq", "row", *_SLUGS)).alias("r")).select("k1", "k2", "r.seq", *[f"r.{c}" for c in _SLUGS])
+    newest = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.desc("seq"), F.desc("row"))) == 1
+    return narrow, rows.withColumn("newest", newest).where("newest").drop("row", "newest")
 
 
 def _buckets(rows: DataFrame, at: Column) -> list[int]:
@@ -69,22 +70,25 @@ def incremental_compile(records: DataFrame, all_records: str, path: str, checkpo
         store = Store(spark, all_records)
         base = store.version()
         of_section, of_title = bucket(F.col("k1")), bucket(F.col("pub_slug"), F.col("title_slug"))
-        rows = written(_newest(batch, key), "arrivals")
-        section_buckets = _buckets(rows, of_section)
+        narrow, whole = _arrived(batch, key)
+        narrow = written(narrow, "arrivals")
+        section_buckets = _buckets(narrow, of_section)
         known = store.read(base, "sections", _INDEX, section_buckets)
         before = known.select("k1", "k2", F.col("seq").alias("old_seq"), *[F.col(c).alias(f"old_{c}") for c in _SLUGS])
-        fresh = written(rows.join(before, ["k1", "k2"], "left").where("old_seq is null or seq is null or seq >= old_seq"), "fresh")
+        fresh = written(narrow.join(before, ["k1", "k2"], "left").where("old_seq is null or seq is null or seq >= old_seq"), "fresh")
         touched = fresh.select(*_SLUGS).union(fresh.where("old_pub_slug is not null").select("old_pub_slug", "old_title_slug")).distinct()
         touched = written(touched, "touched")
         title_buckets = _buckets(touched, of_title)
-        kept = store.read(base, "records", rows.schema, title_buckets).join(fresh.select("k1", "k2"), ["k1", "k2"], "left_anti")
-        now = written(kept.unionByName(fresh.select(*rows.columns)), "records")
+        keys = fresh.select("k1", "k2")
+        kept = store.read(base, "records", whole.schema, title_buckets).join(keys, ["k1", "k2"], "left_anti")
+        # Staged before they are read: bodies go once by section, once by bucket, and once by their place in their title.
+        changes = store.stage(kept.unionByName(whole.join(keys, ["k1", "k2"], "left_semi")), "records", of_title, title_buckets)
+        now = store.read(Version(folders={k: v for k, v in changes.items() if v}), "records", whole.schema)
         write_titles(json_lines(now).join(touched, _SLUGS, "left_semi"), path, "titles")
         for r in touched.join(now.select(*_SLUGS), _SLUGS, "left_anti").toLocalIterator():  # titles that all their sections have left
             for top in (path, f"{path}/_parts"):
                 store.remove(f"{top}/pub_slug={r['pub_slug']}/title_slug={r['title_slug']}")
-        index = known.join(fresh.select("k1", "k2"), ["k1", "k2"], "left_anti").unionByName(fresh.select("k1", "k2", "seq", *_SLUGS))
-        changes = store.stage(now, "records", of_title, title_buckets) | store.stage(index, "sections", of_section, section_buckets)
-        store.commit(base, changes)
+        index = known.join(keys, ["k1", "k2"], "left_anti").unionByName(fresh.select("k1", "k2", "seq", *_SLUGS))
+        store.commit(base, changes | store.stage(index, "sections", of_section, section_buckets))
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

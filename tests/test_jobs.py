@@ -474,6 +474,15 @@ def test_a_section_that_arrives_again_is_one_line(spark, tmp_path):
     assert not (tmp_path / "out" / "pub_slug=p" / "title_slug=b").exists()
 
 
+def test_a_batch_writes_bodies_to_the_store_alone(spark, tmp_path, monkeypatch):
+    """What is written aside while a batch is compiled is narrow; equal rows that arrive twice are one line."""
+    aside, write = [], streams.written
+    monkeypatch.setattr(streams, "written", lambda df, name: aside.append(df.columns) or write(df, name))
+    rows = [("A", "AAB", "one", 1), ("A", "AAB", "one", 1), ("A", "AAC", "two", 1)]
+    assert compiled(spark, tmp_path, section(spark, *rows)) == {("p", "a"): ["one", "two"]}
+    assert aside and not any("body_markdown" in columns for columns in aside)
+
+
 def test_files_of_a_shard_stay_bounded(spark, tmp_path):
     batches = [section(spark, ("A", "AAB", f"body {i}", i), ("A", "AAC", f"other {i}", i)) for i in range(8)]
     assert compiled(spark, tmp_path, *batches) == {("p", "a"): ["body 7", "other 7"]}
