@@ -573,6 +573,14 @@ def test_containment_equals_brute_force(spark):
     assert hits == {r["p"]: sum(bool(r["t"]) and bool(b) and r["t"] in b for b in bodies) for r in probes.collect()}
 
 
+def test_probes_read_texts_for_the_kinds_asked_alone(spark):
+    texts = spark.createDataFrame([(0, 1, "a kite flies high over the hill today"), (0, 2, "kite")], "g int, h long, text string")
+    asks = lambda *asked: spark.createDataFrame([(0, i, a) for i, a in enumerate(asked)], "g int, small long, asked string")
+    cuts = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate")
+    assert cuts(audit._meetings(asks(), texts, 5)) == 0 and cuts(audit._meetings(asks("over the hill"), texts, 5)) <= 2
+    assert {r["h"] for r in audit._meetings(asks("over the hill"), texts, 5).collect()} == {1}
+
+
 def test_short_bodies_need_no_text(spark):
     """Bodies of blanks, of one and two words, of words cut at either end, and of blanks that differ, by brute force."""
     rng = random.Random(4)
