@@ -581,6 +581,24 @@ def test_probes_read_texts_for_the_kinds_asked_alone(spark):
     assert {r["h"] for r in audit._meetings(asks("over the hill"), texts, 5).collect()} == {1}
 
 
+def test_runs_of_words_are_cut_where_their_text_is(spark):
+    runs = audit._runs(spark.createDataFrame([(0, 1, "a b\tc")], "g int, h long, text string"), "text", 1)
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    assert sorted((r["pos"], r["w"], r["gap"], r["w1"], r["gap1"], r["w2"]) for r in runs.collect()) == [(0, "a", " ", "b", "\t", "c"), (1, "b", "\t", "c", None, None)]
+
+
+def test_long_contained_bodies_equal_brute_force(spark):
+    """Long bodies, their slices and near copies of these, some of which a shingle in sixteen tells apart and others not."""
+    rng = random.Random(12)
+    full = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(30)) for _ in range(rng.randrange(60, 300))) for _ in range(40)]
+    cut = [b[rng.randrange(20) : -rng.randrange(1, 200)] for b in full]
+    near = [" ".join("x" if i == at else w for i, w in enumerate(b.split())) for b in cut for at in [rng.randrange(len(b.split()))]]
+    rows = [(("g", "h")[i % 40 % 2], i, b) for i, b in enumerate(full + cut + near + [n[5:-5] for n in near])]
+    got = {r["k"] for r in audit.contained(spark.createDataFrame(rows, "g string, k int, body_markdown string"), group=["g"], key="k").collect()}
+    assert got == {k for g, k, b in rows if any(g == g2 and k != k2 and b in b2 for g2, k2, b2 in rows)} and len(got) >= 80
+
+
 def test_short_bodies_need_no_text(spark):
     """Bodies of blanks, of one and two words, of words cut at either end, and of blanks that differ, by brute force."""
     rng = random.Random(4)
