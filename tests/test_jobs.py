@@ -666,6 +666,36 @@ def test_nations_of_more_customers_than_a_chunk_numbers(spark, sf_dir, tmp_path)
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in found.fetchall()), name
 
 
+CROWDED = (
+    "flt1_candidates",
+)
+
+
+@pytest.fixture(scope="module")
+def crowded(sf_dir, tmp_path_factory):
+    """A folder and its views in DuckDB: a nation of 17,600 customers, of which the last 60, and debtors among them, have two orders or three."""
+    con, folder = pytest.importorskip("duckdb").connect(), tmp_path_factory.mktemp("crowded")
+    for name in ("region", "nation"):
+        con.execute(f"COPY (SELECT * FROM '{sf_dir}/{name}.parquet') TO '{folder}/{name}.parquet'")
+    con.execute(f"COPY (SELECT c.* REPLACE (i AS c_custkey, 3::INTEGER AS c_nationkey, CASE WHEN i % 4 = 0 THEN -1.5 ELSE 1.5 END AS c_acctbal) FROM (SELECT * FROM '{sf_dir}/customer.parquet' LIMIT 1) c, range(17600) r(i)) TO '{folder}/customer.parquet'")
+    con.execute(f"COPY (SELECT o.* REPLACE (i AS o_orderkey, 17540 + i % 60 AS o_custkey) FROM (SELECT * FROM '{sf_dir}/orders.parquet' LIMIT 1) o, range(160) r(i)) TO '{folder}/orders.parquet'")
+    for name in ("region", "nation", "customer", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", CROWDED)
+def test_queries_on_nodes_of_a_crowded_nation_equal_their_sql(spark, crowded, name):
+    """No node, section or count is lost past the 17,575th customer of a nation."""
+    from sectionmill.plans import queries
+
+    folder, con = crowded
+    got, found = queries.QUERIES[name](spark, folder), con.execute(queries.SQL[name])
+    columns, names = got.columns, [c[0] for c in found.description]
+    assert sorted(columns) == sorted(names)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in found.fetchall())
+
+
 def test_the_library_stands_without_llm(tmp_path):
     """With the subpackage and the pipeline gone, all other queries are there; a broken import inside isn't hidden."""
     import shutil
