@@ -669,6 +669,7 @@ def test_nations_of_more_customers_than_a_chunk_numbers(spark, sf_dir, tmp_path)
 CROWDED = (
     "flt1_candidates",
     "jn2_subtree",
+    "col20_section_label",
 )
 
 
