@@ -670,6 +670,7 @@ CROWDED = (
     "flt1_candidates",
     "jn2_subtree",
     "col20_section_label",
+    "jn1_hierarchy",
 )
 
 
