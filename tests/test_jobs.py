@@ -671,6 +671,7 @@ CROWDED = (
     "jn2_subtree",
     "col20_section_label",
     "jn1_hierarchy",
+    "snk4_harvest_summary",
 )
 
 
