@@ -672,6 +672,7 @@ CROWDED = (
     "col20_section_label",
     "jn1_hierarchy",
     "snk4_harvest_summary",
+    "jn4_work_counts",
 )
 
 
