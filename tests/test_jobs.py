@@ -673,6 +673,7 @@ CROWDED = (
     "jn1_hierarchy",
     "snk4_harvest_summary",
     "jn4_work_counts",
+    "jn7_titles_with_counts",
 )
 
 
