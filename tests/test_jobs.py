@@ -674,6 +674,7 @@ CROWDED = (
     "snk4_harvest_summary",
     "jn4_work_counts",
     "jn7_titles_with_counts",
+    "col3_depth_parent",
 )
 
 
