@@ -675,6 +675,7 @@ CROWDED = (
     "jn4_work_counts",
     "jn7_titles_with_counts",
     "col3_depth_parent",
+    "src4_toc_dom",
 )
 
 
