@@ -676,6 +676,7 @@ CROWDED = (
     "jn7_titles_with_counts",
     "col3_depth_parent",
     "src4_toc_dom",
+    "col1_nodeid_to_path",
 )
 
 
