@@ -677,6 +677,7 @@ CROWDED = (
     "col3_depth_parent",
     "src4_toc_dom",
     "col1_nodeid_to_path",
+    "col2_path_to_nodeid",
 )
 
 
