@@ -678,6 +678,7 @@ CROWDED = (
     "src4_toc_dom",
     "col1_nodeid_to_path",
     "col2_path_to_nodeid",
+    "flagship_sections",
 )
 
 
