@@ -707,6 +707,19 @@ def test_queries_on_nodes_of_a_crowded_nation_equal_their_sql(spark, crowded, na
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in found.fetchall())
 
 
+def test_page_text_equals_its_sql_where_a_title_ends_within_a_reference(spark, tmp_path):
+    from sectionmill.plans import queries
+
+    con = pytest.importorskip("duckdb").connect()
+    ends = ["x = &quot", "x &amp", "x &am", "x &quo", "x &", "x &quot;", "x &amp;quot;", "x &amp;amp", "x &ampere y", "&quot &quot;&amp"]
+    con.execute("CREATE TABLE pages AS SELECT i AS page_id, '<article><h1>' || x || '</h1><p><b>' || x || '; &amp;c<p>&quot;</article>' AS html FROM (SELECT unnest(range(10)) AS i, unnest(?) AS x)", [ends])
+    con.execute(f"COPY pages TO '{tmp_path}/pages.parquet'")
+    got = queries.QUERIES["par3_page_text"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL['par3_page_text']})").fetchall())
+    all_names = {r["page_id"]: r["heading"] for r in pages.page_texts(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()}
+    assert all_names[0] == 'x = "' and all_names[9] == '" "&'  # by default a name may lack its semicolon
+
+
 def test_the_library_stands_without_llm(tmp_path):
     """With the subpackage and the pipeline gone, all other queries are there; a broken import inside isn't hidden."""
     import shutil
