@@ -315,6 +315,18 @@ def test_tokens_are_numbered_where_they_are_cut(spark):
         spark.conf.set(key, before)
 
 
+def test_links_are_read_where_pages_are_cut(spark):
+    """Neither windows nor joins read links: nested ones, of void elements, without end tags; equal pages count once."""
+    a = f"<a href='/x?pddocfullpath={DOC.replace('/', '%2F')}&amp;pdtocnodeidentifier=AABAAC'>"
+    body = f"<div {toc.NODE_ATTR}='AAB'>Top {a} in</a> rest</div>no<img {toc.NODE_ATTR}='AABAAD'><ul><li {toc.NODE_ATTR}='AABAAE'>x<li>y</ul><div {toc.NODE_ATTR}='gone'>z"
+    rows = [("P", "AAB", "T", 1, body), ("P", "AAB", "T", 1, body), ("P", None, "T", None, a), ("P", "AAC", "T", 2, None), ("P", "AAD", "T", 2, "")]
+    got = toc.toc_nodes_from_links(spark.createDataFrame(rows, "publication string, title_nodeid string, title_name string, batch_seq long, body string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    assert sorted((r["title_nodeid"], r["batch_seq"], r["seq"], r["nodeid"], r["label"], r["urn"]) for r in got.collect()) == [
+        ("AAB", 1, 0, "AAB", "Top in rest", None), ("AAB", 1, 1, "AABAAC", "in", "urn:contentItem:DOC-1"), ("AAB", 1, 2, "AABAAD", "", None), ("AAB", 1, 3, "AABAAE", "x", None)]
+
+
 def test_only_what_sections_and_notes_say_leaves_the_task_that_cuts(spark):
     """A document of 1,000 units tells a row for each that is asked for, one for all that miss their anchor, and one for each note; none for a token."""
     units = "".join(f'<a id="U.{i}"></a><h2>h{i}</h2><p>one <b>{i}</b> <i>two</i></p>' for i in range(1000))
