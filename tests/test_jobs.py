@@ -315,6 +315,17 @@ def test_tokens_are_numbered_where_they_are_cut(spark):
         spark.conf.set(key, before)
 
 
+def test_texts_are_read_for_the_kinds_of_short_bodies_that_are_asked(spark):
+    """Of words of one, two and more letters and blanks only what is there is looked for; what is found is the same."""
+    rows = [(1, i, t) for i, t in enumerate(["a", "an", "ant", "  ", "b", "xx", "an ant  as b c d e", "zebra"])]
+    texts = spark.createDataFrame(rows, "g int, h long, text string")
+    short = lambda *those: texts.where(F.col("text").isin(*those)).select("g", F.col("h").alias("small"), F.col("text").alias("asked"))
+    found = lambda s: sorted(r["small"] for r in audit._short_contained(s, texts, 5).collect())
+    assert [found(short(t)) for t in ("a", "an", "ant", "  ", "b", "xx", "zebra")] == [[0], [1], [2], [3], [4], [], []] and found(short("a", "an", "ant", "  ", "xx")) == [0, 1, 2, 3]
+    scans = lambda s: audit._short_contained(s, texts, 5)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode")
+    assert scans(short("none")) == 0 and scans(short("  ")) == 1 and scans(short("ant")) == scans(short("zebra")) == 2 < scans(short("a", "ant"))
+
+
 def test_links_are_read_where_pages_are_cut(spark):
     """Neither windows nor joins read links: nested ones, of void elements, without end tags; equal pages count once."""
     a = f"<a href='/x?pddocfullpath={DOC.replace('/', '%2F')}&amp;pdtocnodeidentifier=AABAAC'>"
